@@ -8,10 +8,12 @@ buckets find every link that matters for the components:
 2. where a bucket still holds members of several components, its members of the smaller components
    are compared with all members of other components, in blocks of bounded size.
 
-A pair is first judged by Odd sketches: the parity bitmap of the MinHash samples in pass 1, that of
-the whole set (a sample that leaves nothing out) in pass 2. Pairs whose XOR population count is
-within six standard deviations of the threshold's are confirmed on the full sets. Pairs inside a
-component need no comparison, so a group of n copies costs n comparisons and not n * n.
+A pair is first judged by Odd sketches. In pass 1 it is the parity bitmap of the MinHash samples; a
+pair goes on if its XOR population count is within six standard deviations of the threshold's. In
+pass 2 it is the parity bitmap of the whole set, a sample that leaves nothing out: there the count is
+at most the number of shingles in which the sets differ, so the threshold itself drops no link. What
+remains is confirmed on the full sets. Pairs inside a component need no comparison, so a group of n
+copies costs n comparisons and not n * n.
 
 Rows without text or words, and rows without an id, have no partners; the latter get a null
 component. Rows that share an id share its component where their texts do.
@@ -108,8 +110,8 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def parity_width(n: int) -> int:
-    """Bits of the parity bitmap of a whole set of n: a power of two, at least 4 a shingle."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """Bits of the parity bitmap of a whole set of n: a power of two, at least 8 a shingle."""
+    return max(64, 1 << (8 * n - 1).bit_length())
 
 
 def parity(shingle_set: np.ndarray) -> bytes:
@@ -128,12 +130,11 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def most_ones(total: np.ndarray, width: int, share: float) -> np.ndarray:
-    """Largest XOR population count that sets of these summed sizes may have if linked, with six standard deviations to spare."""
-    d = total * share
-    mean = width / 2 * (1 - np.exp(-2 * d / width))
-    var = np.maximum(width / 4 * (1 - np.exp(-4 * d / width)) - d * np.exp(-4 * d / width), 1)
-    return mean + 6 * np.sqrt(var) + 2
+def most_ones(differing: float, width: int) -> float:
+    """XOR population count that so many differing samples stay below, with six standard deviations to spare."""
+    mean = width / 2 * (1 - math.exp(-2 * differing / width))
+    var = width / 4 * (1 - math.exp(-4 * differing / width)) - differing * math.exp(-4 * differing / width)
+    return mean + 6 * math.sqrt(max(var, 1))
 
 
 def block_pairs(left: list, right: list, same: bool, percent: int) -> list[tuple[int, int]]:
@@ -159,7 +160,7 @@ def block_pairs(left: list, right: list, same: bool, percent: int) -> list[tuple
                 j = np.flatnonzero(fits)
                 if len(j):
                     ones = np.bitwise_count(two[j] ^ one[i]).sum(axis=1)
-                    j = j[ones <= most_ones(sizes2[j] + sizes[i], width, share)]
+                    j = j[ones <= (sizes2[j] + sizes[i]) * share + 1e-6]
                     found += [(min(int(keys[i]), int(x)), max(int(keys[i]), int(x))) for x in keys2[j]]
     return found
 
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     pairs = pairs.join(brief.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
     ones = reduce(lambda x, y: x + y, (F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(SKETCH_BITS // 64)))
     differing = 2 * SAMPLES * (1 - percent / 100) + 5 * 2 * math.sqrt(SAMPLES * percent / 100 * (1 - percent / 100))  # of the samples, five standard deviations above the threshold's
-    most = float(most_ones(np.array([differing]), SKETCH_BITS, 1.0)[0])
+    most = most_ones(differing, SKETCH_BITS)
     pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most)).select("a", "b")
     sets = stored(_sets(texts, classes.select("doc_id", "key").join(members.select("key").distinct(), "key", "left_semi"), k), "sets")
     links = stored(_confirm(pairs, sets, percent), "links")
