@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
+from takerank.llm import quality
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NEAR_DEDUP = rf"""
@@ -21,4 +23,47 @@ SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP}
+_STOCK = " OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)
+_WORDS_OF = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+QUALITY = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, t, {_WORDS_OF.format('t')} AS words, string_split(t, chr(10)) AS lines FROM t
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS h FROM w WHERE len(words) >= 8
+), twice AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) > 1 AS again FROM windows
+), gaps AS (
+  SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS covers FROM twice WHERE again
+), repeats AS (
+  SELECT doc_id, sum(covers)::BIGINT AS n_repeat_words FROM gaps GROUP BY doc_id
+), l AS (
+  SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS x FROM w
+), lw AS (
+  SELECT doc_id, i, x, {_WORDS_OF.format('x')} AS words FROM l
+), lm AS (
+  SELECT *, len(words) AS n, len(array_to_string(words, '')) AS solid, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) > 1 AS again,
+    len(list_filter(words, lambda v: regexp_matches(v, '{quality.LOUD_END}'))) AS loud,
+    len(list_filter(words, lambda v: regexp_matches(v, '{quality.SEPARATOR}'))) AS separators,
+    len(regexp_extract_all(x, '{quality.SYMBOLS}')) AS symbols,
+    len(list_filter(range(2, len(words) + 1), lambda j: words[j] = words[j - 1])) AS same
+  FROM lw
+), lost AS (
+  SELECT doc_id,
+    count(*) FILTER (n > 0 AND again) AS n_dup_lines,
+    coalesce(sum(solid) FILTER (n > 0 AND (again OR 2 * loud >= n OR 3 * separators >= n OR 5 * symbols >= solid OR (n >= 4 AND 2 * same >= n))), 0) AS lost_chars
+  FROM lm GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(t, '{quality.SYMBOLS}')) AS n_symbols,
+    n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost_chars
+  FROM w JOIN lost USING (doc_id) LEFT JOIN repeats USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  lost_chars::BIGINT AS lost_chars, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words AND 100 * lost_chars <= {quality.MOST_LOST} * word_chars AS kept
+FROM m
+"""
+
+ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP, "op4_line_quality": QUALITY}
