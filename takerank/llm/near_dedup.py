@@ -137,8 +137,11 @@ def most_ones(differing: float, width: int) -> float:
     return mean + 6 * math.sqrt(max(var, 1))
 
 
-def block_pairs(left: list, right: list, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Pairs of members with different labels whose parity bitmaps allow a link. A member: (key, label, n, bitmap)."""
+def block_pairs(left: list, right: list, same: bool, percent: int, band: int) -> list[tuple[int, int]]:
+    """Pairs of members with different labels whose parity bitmaps allow a link. A member: (key, label, n, bitmap, bands).
+
+    Of the buckets that two members share, only that of the first band gives the pair.
+    """
     share = (100 - percent) / (100 + percent)  # linked sets differ in at most this share of their summed sizes
     found: list[tuple[int, int]] = []
     by: list[dict[int, tuple]] = []
@@ -146,9 +149,9 @@ def block_pairs(left: list, right: list, same: bool, percent: int) -> list[tuple
         widths: dict[int, list] = {}
         for m in side:
             widths.setdefault(len(m[3]) * 8, []).append(m)
-        by.append({w: (np.array([m[0] for m in ms]), np.array([m[1] for m in ms]), np.array([m[2] for m in ms]), np.frombuffer(b"".join(m[3] for m in ms), dtype=np.uint64).reshape(len(ms), -1)) for w, ms in widths.items()})
-    for w, (keys, labels, sizes, bits) in by[0].items():
-        for v, (keys2, labels2, sizes2, bits2) in by[1].items():
+        by.append({w: (np.array([m[0] for m in ms]), np.array([m[1] for m in ms]), np.array([m[2] for m in ms]), np.frombuffer(b"".join(m[3] for m in ms), dtype=np.uint64).reshape(len(ms), -1), np.array([m[4] for m in ms])) for w, ms in widths.items()})
+    for w, (keys, labels, sizes, bits, bands) in by[0].items():
+        for v, (keys2, labels2, sizes2, bits2, bands2) in by[1].items():
             if max(w, v) > 4 * min(w, v):
                 continue
             width = min(w, v)
@@ -161,6 +164,8 @@ def block_pairs(left: list, right: list, same: bool, percent: int) -> list[tuple
                 if len(j):
                     ones = np.bitwise_count(two[j] ^ one[i]).sum(axis=1)
                     j = j[ones <= (sizes2[j] + sizes[i]) * share + 1e-6]
+                    common = bands2[j] == bands[i]
+                    j = j[bands[i][common.argmax(axis=1)] == band]
                     found += [(min(int(keys[i]), int(x)), max(int(keys[i]), int(x))) for x in keys2[j]]
     return found
 
@@ -248,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     labels = components(links)
 
     # pass 2: what is left between components, judged by the parity bitmaps of the whole sets
-    more = _confirm(_crossing(members, labels, sets, percent), sets, percent)
+    more = _confirm(_crossing(members, labels, sets.join(classes.select("key", "bands"), "key"), percent), sets, percent)
     labels = components(links.unionByName(more))
 
     named = classes.select("key", F.col("doc_id").alias("least")).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -268,17 +273,17 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     held = held.join(mixed, "band").withColumn("minor", F.col("label") != F.col("major"))
     blocks = F.ceil(F.when(F.col("minor"), F.col("all") - F.col("most")).otherwise(F.col("most")) / BLOCK)
     held = held.withColumn("block", F.pmod(F.xxhash64("key"), blocks)).select("band", "minor", "block", "key", "label")
-    held = held.join(sets.select("key", "n", "parity").dropDuplicates(["key"]), "key")
-    block = stored(held.groupBy("band", "minor", "block").agg(F.collect_list(F.struct("key", "label", "n", "parity")).alias("rows")), "blocks")
+    held = held.join(sets.select("key", "n", "parity", "bands").dropDuplicates(["key"]), "key")
+    block = stored(held.groupBy("band", "minor", "block").agg(F.collect_list(F.struct("key", "label", "n", "parity", "bands")).alias("rows")), "blocks")
     left = block.where("minor").select("band", F.col("block").alias("i"), F.col("rows").alias("one"))
     right = block.select("band", F.col("block").alias("j"), "minor", F.col("rows").alias("two"))
-    tasks = left.join(right, "band").where("NOT minor OR i <= j").select("one", "two", (F.col("minor") & (F.col("i") == F.col("j"))).alias("same"))
+    tasks = left.join(right, "band").where("NOT minor OR i <= j").select("one", "two", "band", (F.col("minor") & (F.col("i") == F.col("j"))).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                one, two = ([(m["key"], m["label"], m["n"], m["parity"]) for m in batch.column(c)[r].as_py()] for c in (0, 1))
-                found = block_pairs(one, two, batch.column(2)[r].as_py(), percent)
+                one, two = ([(m["key"], m["label"], m["n"], m["parity"], m["bands"]) for m in batch.column(c)[r].as_py()] for c in (0, 1))
+                found = block_pairs(one, two, batch.column(3)[r].as_py(), percent, batch.column(2)[r].as_py())
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
