@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from takerank.llm import bpe, decontaminate, near_dedup, quality
+from takerank.llm import bpe, decontaminate, near_dedup, quality, secrets
 from takerank.llm.sql import ORACLES
 
 
@@ -18,6 +18,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
@@ -33,7 +37,7 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_line_quality, op6_byte_bpe, op10_simhash_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_trigram_secrets, op4_line_quality, op6_byte_bpe, op10_simhash_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

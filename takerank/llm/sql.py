@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
-from takerank.llm import quality
+from takerank.llm import quality, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -66,4 +66,25 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM m
 """
 
-ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP, "op4_line_quality": QUALITY}
+_EACH = " UNION ALL ".join(
+    f"""SELECT doc_id, {i} AS place, '{r.kind}' AS kind, unnest(regexp_extract_all(t, $p${r.pattern}$p$)) AS m, unnest(string_split_regex(t, $p${r.pattern}$p$)) AS gap,
+    unnest(range(len(regexp_extract_all(t, $p${r.pattern}$p$)) + 1)) AS i FROM t"""
+    for i, r in enumerate(secrets.RULES)
+)
+SECRETS = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), each AS ({_EACH}
+), placed AS (
+  SELECT *, sum(len(gap)) OVER w + coalesce(sum(len(m)) OVER (PARTITION BY doc_id, place ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM each WINDOW w AS (PARTITION BY doc_id, place ORDER BY i)
+), s AS (
+  SELECT doc_id, place, kind, start::BIGINT AS start, concat(kind, ':', start::BIGINT, ':', (start + len(m))::BIGINT) AS span FROM placed WHERE m IS NOT NULL AND (place <> 0 OR len(regexp_extract(m, $p${secrets.BASE[0].pattern}$p$, 2)) >= 6) AND (place <> 1 OR len(m) >= 20)
+)
+SELECT t.doc_id, {", ".join(f"count(*) FILTER (place = {i}) AS n_{r.kind}" for i, r in enumerate(secrets.BASE))},
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, place) FILTER (place < {len(secrets.BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, place), '') AS spans
+FROM t LEFT JOIN s ON t.doc_id = s.doc_id GROUP BY t.doc_id
+"""
+
+ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP, "op3_trigram_secrets": SECRETS, "op4_line_quality": QUALITY}
