@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from takerank.llm import bpe, decontaminate, near_dedup, pii, quality, secrets
+from takerank.llm import bpe, decontaminate, near_dedup, pii, quality, secrets, warc
 from takerank.llm.sql import ORACLES
 
 
@@ -26,6 +26,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +45,7 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_trigram_secrets, op4_line_quality, op6_byte_bpe, op8_feistel_pii, op10_simhash_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_trigram_secrets, op4_line_quality, op5_warc_archive, op6_byte_bpe, op8_feistel_pii, op10_simhash_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

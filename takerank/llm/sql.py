@@ -87,4 +87,19 @@ SELECT t.doc_id, {", ".join(f"count(*) FILTER (place = {i}) AS n_{r.kind}" for i
 FROM t LEFT JOIN s ON t.doc_id = s.doc_id GROUP BY t.doc_id
 """
 
-ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP, "op3_trigram_secrets": SECRETS, "op4_line_quality": QUALITY}
+# SHA-1 in base 32 from its hex digits: eight letters for each ten digits
+WARC = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS p FROM pages
+), d AS (
+  SELECT page_id, p, list_reduce(list_transform(range(32), lambda k: list_transform(range(1), lambda z:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha1(p), 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) % 32 + 1, 1))[1]), lambda a, b: a || b) AS digest
+  FROM p
+)
+SELECT page_id, strlen(p)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY p) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER (PARTITION BY p) THEN min(page_id) OVER (PARTITION BY p) END AS refers_to
+FROM d
+"""
+
+ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP, "op3_trigram_secrets": SECRETS, "op4_line_quality": QUALITY, "op5_warc_archive": WARC}
