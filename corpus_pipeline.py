@@ -1,25 +1,55 @@
-"""The corpus pipeline: each stage reads what the stage before it kept."""
+"""The corpus pipeline: each stage works on all that the stage before it kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from takerank.llm import near_dedup
+from takerank.llm import bpe, decontaminate, near_dedup, pii, quality
 from takerank.llm.cluster import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail are removed; documents that the rules reject go."""
+    return quality.clean(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return near_dedup.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by pseudonyms."""
+    return pii.without_personal_data(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text; every text is decoded again and compared while it is encoded."""
+    import public_tokenizers
+
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encoded.select("doc_id", "n_tokens", "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("byte_bpe", byte_bpe),
+]
 
-#: Byte-level BPE cannot be written in SQL.
+#: Byte-level BPE cannot be written in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
