@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from takerank.llm import bpe, decontaminate, near_dedup, pii, quality, secrets, warc
+from takerank.llm import bpe, decontaminate, html_text, near_dedup, pii, quality, secrets, warc
 from takerank.llm.sql import ORACLES
 
 
@@ -40,12 +40,16 @@ def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_trigram_secrets, op4_line_quality, op5_warc_archive, op6_byte_bpe, op8_feistel_pii, op10_simhash_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_trigram_secrets, op4_line_quality, op5_warc_archive, op6_byte_bpe, op8_feistel_pii, op9_html_main_text, op10_simhash_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
