@@ -8,7 +8,7 @@ lines are split at LF. A line fails if
 - navigation: at least a third of its words are separators such as ``|`` or ``>``;
 - boilerplate: it has at most 25 words and holds one of the phrases of ``BOILERPLATE`` in any case;
 - repetition: it has a word and equals an earlier line of the document, or it has four words or more
-  and at least half of them equal the word before.
+  and at least two thirds of them equal the word before.
 
 A document is rejected if it has fewer than 20 words, if more than 30 % of its words lie in 8-word
 windows found twice or more, or if the lines that failed for another reason than boilerplate hold more
@@ -57,12 +57,12 @@ def _stock_line(line: Column) -> Column:
     return _stock(line) & (F.size(_words(line)) <= 25)
 
 
-def _bad_line(line: Column) -> Column:
-    words = _words(line)
+def _bad_line(line: Column, words: Column) -> Column:
     loud = F.size(F.filter(words, lambda w: w.rlike(LOUD_END)))
     separators = F.size(F.filter(words, lambda w: w.rlike(SEPARATOR)))
     same = F.size(F.filter(words, lambda w, i: w.eqNullSafe(_beside(words, i, -1))))
-    return (F.size(words) > 0) & ((2 * loud >= F.size(words)) | (3 * separators >= F.size(words)) | (5 * F.regexp_count(line, F.lit(SYMBOLS)) >= F.length(F.array_join(words, ""))) | ((F.size(words) >= 4) & (2 * same >= F.size(words))))
+    symbols, n = F.regexp_count(line, F.lit(SYMBOLS)), F.size(words)
+    return (n > 0) & ((2 * loud >= n) | (3 * separators >= n) | (5 * symbols >= F.length(F.array_join(words, ""))) | ((n >= 4) & (3 * same >= 2 * n)))
 
 
 def _beside(items: Column, i: Column, step: int) -> Column:
@@ -84,7 +84,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "hashes": F.transform("words", lambda w: F.xxhash64(w)),
     })
-    df = df.withColumn("stutters", F.size(F.filter("hashes", lambda h, i: h.eqNullSafe(_beside(F.col("hashes"), i, -1)))))
+    df = df.withColumn("stutters", F.size(F.filter("hashes", lambda h, i: h.eqNullSafe(_beside(F.col("hashes"), i, -1)) & h.eqNullSafe(_beside(F.col("hashes"), i, -2)))))
     windows = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW), lambda i: F.xxhash64(*[F.get("hashes", i + j) for j in range(WINDOW)]))
     df = df.withColumns({"windows": F.when(F.col("n_words") >= WINDOW, windows), "n_dup_lines": (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long")}).drop("hashes", "worded", "words")
     # windows found twice: neighbours once all are sorted; then their places in order, each covering at most WINDOW words
@@ -100,7 +100,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.filter("numbered", lambda x, j: ~x.x.rlike(r"[^\x20\x09-\x0D]") | ~x.x.eqNullSafe(_beside(F.col("numbered"), j, -1).x))
     once = F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x.i, x.x))), lambda x: x.x)
     df = df.withColumn("once", F.coalesce(once, F.col("lines"))).drop("numbered", "lines")
-    df = df.withColumn("good", F.when(F.col("t").rlike(SUSPECT) | (F.col("stutters") >= 2), F.filter("once", lambda x: ~_bad_line(x))).otherwise(F.col("once")))
+    # two thirds of a line's words can equal the word before only where three equal words follow each other
+    suspect = F.col("t").rlike(SUSPECT) | (F.col("stutters") > 0)
+    df = df.withColumn("split", F.when(suspect, F.transform("once", lambda x: F.struct(x.alias("x"), _words(x).alias("w")))))
+    good = F.transform(F.filter("split", lambda y: ~_bad_line(y.x, y.w)), lambda y: y.x)
+    df = df.withColumn("good", F.coalesce(good, F.col("once"))).drop("split")
     df = df.withColumns({
         "lost_chars": F.when((F.col("n_dup_lines") > 0) | (F.size("good") < F.size("once")), F.col("word_chars") - _solid(F.col("good"))).otherwise(0).cast("long"),
         "clean_text": F.array_join(F.when(_stock(F.col("t")), F.filter("good", lambda x: ~_stock_line(x))).otherwise(F.col("good")), "\n"),

@@ -53,7 +53,7 @@ WITH t AS (
 ), lost AS (
   SELECT doc_id,
     count(*) FILTER (n > 0 AND again) AS n_dup_lines,
-    coalesce(sum(solid) FILTER (n > 0 AND (again OR 2 * loud >= n OR 3 * separators >= n OR 5 * symbols >= solid OR (n >= 4 AND 2 * same >= n))), 0) AS lost_chars
+    coalesce(sum(solid) FILTER (n > 0 AND (again OR 2 * loud >= n OR 3 * separators >= n OR 5 * symbols >= solid OR (n >= 4 AND 3 * same >= 2 * n))), 0) AS lost_chars
   FROM lm GROUP BY doc_id
 ), m AS (
   SELECT doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(t, '{quality.SYMBOLS}')) AS n_symbols,
