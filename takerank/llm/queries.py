@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from takerank.llm import bpe, decontaminate, html_text, near_dedup, pii, quality, secrets, warc
+from takerank.llm import bpe, decontaminate, html_text, licenses, near_dedup, pii, quality, secrets, sharding, warc
+from takerank.llm.cluster import scratch
 from takerank.llm.sql import ORACLES
 
 
@@ -18,6 +20,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.compacted(_table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    return found.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,7 +60,7 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_trigram_secrets, op4_line_quality, op5_warc_archive, op6_byte_bpe, op8_feistel_pii, op9_html_main_text, op10_simhash_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_digests, op3_trigram_secrets, op4_line_quality, op5_warc_archive, op6_byte_bpe, op7_tiered_shards, op8_feistel_pii, op9_html_main_text, op10_simhash_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

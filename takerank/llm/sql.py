@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
-from takerank.llm import quality, secrets
+from takerank.llm import licenses, quality, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -102,4 +102,30 @@ SELECT page_id, strlen(p)::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
-ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP, "op3_trigram_secrets": SECRETS, "op4_line_quality": QUALITY, "op5_warc_archive": WARC}
+def _canonical(column: str) -> str:
+    out = f"lower({column})"
+    for a, b in licenses.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"regexp_replace(regexp_replace({out}, $p${licenses.COPYRIGHT_LINE}$p$, '', 'g'), $p$[^\\p{{L}}\\p{{N}}]+$p$, '', 'g')"
+
+
+_KNOWN = ", ".join(f"('{i}', $t${t}$t$)" for i, t in licenses.NOTICES)
+LICENSES = f"""
+WITH known AS (
+  SELECT DISTINCT license_id, {_canonical("t")} AS form FROM (VALUES {_KNOWN}) AS v(license_id, t)
+), u AS (
+  SELECT doc_id, 0 AS place, coalesce(text, '') AS unit FROM documents
+  UNION ALL SELECT doc_id, 1, unnest(string_split_regex(coalesce(text, ''), '\\n\\s*\\n')) FROM documents
+  UNION ALL SELECT doc_id, 1, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
+), f AS (
+  SELECT doc_id, min(place) AS place, form FROM (SELECT doc_id, place, {_canonical("unit")} AS form FROM u) WHERE form <> '' GROUP BY doc_id, form
+), hits AS (
+  SELECT doc_id, place, license_id FROM f JOIN known USING (form)
+)
+SELECT doc_id, coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id), '') AS licenses, min(license_id) FILTER (place = 0) AS whole_license
+FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id
+"""
+
+SHARDS = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+ORACLES = {"op1_minhash_near_dedup": NEAR_DEDUP, "op2_license_digests": LICENSES, "op3_trigram_secrets": SECRETS, "op4_line_quality": QUALITY, "op5_warc_archive": WARC, "op7_tiered_shards": SHARDS}
