@@ -116,6 +116,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, without the lines that failed; n_chars, if there, is set anew."""
-    kept = measure(docs).where("kept")
+    # an expression that is not deterministic keeps the optimiser from writing the whole measurement into the filter, once for each use
+    kept = measure(docs).withColumn("q_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("q_row") >= 0))
     text = F.col("clean_text")
     return kept.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
