@@ -110,7 +110,7 @@ def bradley_terry(matrix: DataFrame, iterations: int = 200, prior: float = 0.05)
         return pd.DataFrame({"item": items, "bt": np.log(theta)})
 
     kind = dict(matrix.dtypes)["winner"]
-    return matrix.groupBy(F.lit(0)).applyInPandas(fit, f"item {kind}, bt double")
+    return matrix.groupBy().applyInPandas(fit, f"item {kind}, bt double")
 
 
 def close_pairs(ranked: DataFrame, distance: int = 6) -> DataFrame:

@@ -123,6 +123,8 @@ def aggregate_files(windows: DataFrame, files: DataFrame, settings: Settings | N
         *_file_features(there),
         *diagnostics,
     )
+    # ranks must not depend on the order of summation
+    d = d.withColumns({f: F.round(f, 9) for spec in model.FILE_DIMENSIONS.values() for f in spec if f in d.columns})
     d = d.join(files.select("path", "duration"), "path", "left").withColumn("dur_min", F.round(F.coalesce("duration", F.lit(0.0)) / 60, 2)).drop("duration")
     d = d.join(dimensions(d, ["path"], model.FILE_DIMENSIONS), "path")
     there = d.columns

@@ -64,10 +64,10 @@ def file_scores(profile: str, veto: bool = False) -> str:
     return f"""{scored(veto, idea)}, sl AS (SELECT *, greatest(sqrt({unit}), 1e-10) AS len FROM sw
 ), f0 AS (SELECT path, count(*) AS n_win, arg_max(start, {{'a': round(score, 9), 'b': -start}}) AS best_start_s,
     {", ".join(f"median({d}) AS {d}" for d in model.WINDOW_DIMENSIONS)}, median(score) AS med, quantile_cont(score, 0.95) AS best,
-    CASE WHEN count(tempo) FILTER (tempo > 0) >= 3 THEN 1 - stddev_samp(tempo) FILTER (tempo > 0) / avg(tempo) FILTER (tempo > 0) END AS tempo_consistency,
-    CASE WHEN count(rms_db) >= 3 THEN quantile_cont(rms_db, 0.9) - quantile_cont(rms_db, 0.1) END AS arco_dinamico,
-    CASE WHEN count(*) >= 3 THEN 1 - ({whole} - sum({own})) / (count(*) * (count(*) - 1)) END AS novedad_armonica,
-    CASE WHEN count(onset_rate) >= 3 AND avg(onset_rate) > 0 THEN stddev_samp(onset_rate) / greatest(avg(onset_rate), 1e-9) END AS variedad_textura, NULL::DOUBLE AS harmonic_flux
+    round(CASE WHEN count(tempo) FILTER (tempo > 0) >= 3 THEN 1 - stddev_samp(tempo) FILTER (tempo > 0) / avg(tempo) FILTER (tempo > 0) END, 9) AS tempo_consistency,
+    round(CASE WHEN count(rms_db) >= 3 THEN quantile_cont(rms_db, 0.9) - quantile_cont(rms_db, 0.1) END, 9) AS arco_dinamico,
+    round(CASE WHEN count(*) >= 3 THEN 1 - ({whole} - sum({own})) / (count(*) * (count(*) - 1)) END, 9) AS novedad_armonica,
+    round(CASE WHEN count(onset_rate) >= 3 AND avg(onset_rate) > 0 THEN stddev_samp(onset_rate) / greatest(avg(onset_rate), 1e-9) END, 9) AS variedad_textura, NULL::DOUBLE AS harmonic_flux
   FROM sl GROUP BY path
 ), f1 AS (SELECT *, {dims} FROM f0
 ), f2 AS (SELECT *, {_combo(model.EXECUTION)} AS ejecucion, {_combo(model.INTEREST)} AS interes, {_combo(model.BALANCE)} AS balance FROM f1

@@ -321,7 +321,7 @@ def tempo_chain(spark, sf_dir):
         out = rest.iloc[order][["path", "ini", "fin", "tempo"]].reset_index(drop=True)
         return out.assign(position=np.arange(1, len(out) + 1, dtype=np.int64))
 
-    return rounded(s.groupBy(F.lit(0)).applyInPandas(chain, "path string, ini double, fin double, tempo double, position long"))
+    return rounded(s.groupBy().applyInPandas(chain, "path string, ini double, fin double, tempo double, position long"))
 
 
 @query
