@@ -172,7 +172,7 @@ def window_features(y: np.ndarray, sr: int) -> dict[str, float]:
     pitch = 12 * np.log2(np.maximum(freqs[strong], 1) / 440)
     out["tuning_dev"] = float(abs(np.angle(np.exp(2j * np.pi * pitch).mean())) / (2 * np.pi))
     if len(share) >= 16:
-        width = max(1, int(8 * sr / STEP))
+        width = max(1, min(len(share), int(8 * sr / STEP)))
         kernel = np.ones(width) / width
         context = np.array([np.convolve(share[:, i], kernel, "same") for i in range(12)]).T
         local = ((context - context.mean(axis=1, keepdims=True)) @ keys.T).argmax(axis=1)

@@ -70,7 +70,7 @@ def spearman(df: DataFrame, key: str, target: str, features: list[str], p: bool
     long = rows.select(key, target, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("v")).select(key, target, "v.*").where("x IS NOT NULL")
     mean_rank = lambda c: F.rank().over(W.Window.partitionBy("feature").orderBy(c)) + (F.count("*").over(W.Window.partitionBy("feature", c)) - 1) / 2
     r = long.withColumns({"rx": mean_rank("x"), "ry": mean_rank(target)})
-    out = r.groupBy("feature").agg(F.count("*").alias("n"), F.count_distinct("x").alias("k"), F.corr("rx", "ry").alias("rho")).where("n >= 5 AND k > 1").drop("k")
+    out = r.groupBy("feature").agg(F.count("*").alias("n"), F.count_distinct("x").alias("k"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho")).where("n >= 5 AND k > 1").drop("k")
     if not p:
         return out
 
