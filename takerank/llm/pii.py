@@ -28,6 +28,11 @@ DEFAULT_KEY = "set-your-own-key"
 CYCLE_DAYS = 146097  # 400 years, 1800-01-01 to 2199-12-31: 189 * 773 days
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _draw(key: str, kind: str, turn: Column, place: Column, other: Column) -> Column:
     """A number below 2**40 from the key, the place and the other half."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), place.cast("string"), other), 256), 1, 10), 16, 10).cast("bigint")
@@ -42,20 +47,25 @@ def _shift(c: Column, alphabet: Column, by: Column) -> Column:
 
 def permute_symbols(symbols: Column, alphabets: Column, key: str, kind: str) -> Column:
     """A string permuted within the alphabets of its positions."""
-    n = F.length(symbols)
-    half = F.floor(n / 2).cast("int")
-    left, right = F.substr(symbols, F.lit(1), half), F.substr(symbols, half + 1, n)
-    left_kinds, right_kinds = F.substr(alphabets, F.lit(1), half), F.substr(alphabets, half + 1, n)
+
+    def halves(x: Column) -> Column:
+        n = F.length(x.s)
+        half = F.floor(n / 2).cast("int")
+        parts = {"l": (x.s, F.lit(1), half), "r": (x.s, half + 1, n), "lk": (x.k, F.lit(1), half), "rk": (x.k, half + 1, n)}
+        return F.struct(*[F.substr(*v).alias(k) for k, v in parts.items()])
 
     def added(own: Column, kinds: Column, other: Column, turn: Column) -> Column:
         moved = F.transform(F.sequence(F.lit(1), F.length(own)), lambda i: _shift(F.substr(own, i, F.lit(1)), F.substr(kinds, i, F.lit(1)), _draw(key, kind, turn, i, other)))
         return F.when(F.length(own) == 0, own).otherwise(F.array_join(moved, ""))
 
-    def step(s: Column, turn: Column) -> Column:
-        even = turn % 2 == 0
-        return F.struct(F.when(even, s.l).otherwise(added(s.l, left_kinds, s.r, turn)).alias("l"), F.when(even, added(s.r, right_kinds, s.l, turn)).otherwise(s.r).alias("r"))
+    def permuted(h: Column) -> Column:
+        def step(s: Column, turn: Column) -> Column:
+            even = turn % 2 == 0
+            return F.struct(F.when(even, s.l).otherwise(added(s.l, h.lk, s.r, turn)).alias("l"), F.when(even, added(s.r, h.rk, s.l, turn)).otherwise(s.r).alias("r"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(h.l.alias("l"), h.r.alias("r")), step, lambda s: F.concat(s.l, s.r))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(left.alias("l"), right.alias("r")), step, lambda s: F.concat(s.l, s.r))
+    return let(let(F.struct(symbols.alias("s"), alphabets.alias("k")), halves), permuted)
 
 
 def permute_pair(a: Column, b: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
@@ -79,44 +89,59 @@ def _digits(m: Column) -> Column:
 
 def _refill(m: Column, symbols: Column) -> Column:
     """m with its letters and digits replaced by symbols, in order."""
-    places = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.struct(F.substr(m, i, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substr(m, F.lit(1), i), "[^A-Za-z0-9]", "")).alias("k")))
-    return F.array_join(F.transform(places, lambda p: F.when(p.c.rlike("[A-Za-z0-9]"), F.substr(symbols, p.k, F.lit(1))).otherwise(p.c)), "")
+
+    def filled(x: Column) -> Column:
+        chars = F.transform(F.sequence(F.lit(1), F.length(x.m)), lambda i: F.struct(F.substr(x.m, i, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substr(x.m, F.lit(1), i), "[^A-Za-z0-9]", "")).alias("k")))
+        return F.array_join(F.transform(chars, lambda p: F.when(p.c.rlike("[A-Za-z0-9]"), F.substr(x.s, p.k, F.lit(1))).otherwise(p.c)), "")
+
+    return let(F.struct(m.alias("m"), symbols.alias("s")), filled)
 
 
 def _luhn(digits: Column) -> Column:
     """Luhn sum of a string of digits, the last counting once."""
-    n = F.length(digits)
 
-    def value(i: Column) -> Column:
-        d = F.substr(digits, i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return F.when((n - i) % 2 == 1, twice).otherwise(d)
+    def total(d: Column) -> Column:
+        n = F.length(d)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, x: a + x)
+        def value(i: Column) -> Column:
+            once = F.substr(d, i, F.lit(1)).cast("int")
+            twice = F.when(once > 4, 2 * once - 9).otherwise(2 * once)
+            return F.when((n - i) % 2 == 1, twice).otherwise(once)
+
+        return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, x: a + x)
+
+    return let(digits, total)
 
 
 def _mod97(account: Column) -> Column:
     """Remainder by 97 of a string whose letters stand for 10 to 35."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(account)), lambda i: F.ascii(F.substr(account, i, F.lit(1))))
-    return F.aggregate(chars, F.lit(0), lambda r, c: F.when(c < 58, (r * 10 + c - 48) % 97).otherwise((r * 100 + c - 55) % 97))
+
+    def rest(x: Column) -> Column:
+        chars = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.ascii(F.substr(x, i, F.lit(1))))
+        return F.aggregate(chars, F.lit(0), lambda r, c: F.when(c < 58, (r * 10 + c - 48) % 97).otherwise((r * 100 + c - 55) % 97))
+
+    return let(account, rest)
 
 
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    symbols = F.regexp_replace(local, "[^A-Za-z0-9]", "")
-    return F.concat(_refill(local, permute_symbols(symbols, _alphabets(symbols), key, "email")), F.lit("@"), F.substring_index(m, "@", -1))
+    new = let(F.regexp_replace(local, "[^A-Za-z0-9]", ""), lambda x: permute_symbols(x, _alphabets(x), key, "email"))
+    return F.concat(_refill(local, new), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _card_ok(m: Column) -> Column:
-    return F.length(_digits(m)).between(13, 19) & (_luhn(_digits(m)) % 10 == 0)
+    return let(_digits(m), lambda d: F.length(d).between(13, 19) & (_luhn(d) % 10 == 0))
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _digits(m)
-    middle = F.substr(d, F.lit(2), F.length(d) - 2)
-    body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_symbols(middle, _alphabets(middle), key, "card"))
-    check = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    return _refill(m, F.concat(body, check.cast("string")))
+    def body(d: Column) -> Column:
+        middle = let(F.substr(d, F.lit(2), F.length(d) - 2), lambda x: permute_symbols(x, _alphabets(x), key, "card"))
+        return F.concat(F.substr(d, F.lit(1), F.lit(1)), middle)
+
+    def checked(b: Column) -> Column:
+        return F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))
+
+    return _refill(m, let(let(_digits(m), body), checked))
 
 
 def _phone_ok(m: Column) -> Column:
@@ -125,16 +150,20 @@ def _phone_ok(m: Column) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[ .\-(]|\d{7})", 1)
-    national = F.substr(_digits(m), F.length(code) + 1, F.lit(15))
-    american = (code == "1") & national.rlike("^[2-9]..[2-9].{6}$")
-    alphabets = F.when(american, F.lit("nddndddddd")).otherwise(F.regexp_replace(national, ".", "d"))
-    return _refill(m, F.concat(code, permute_symbols(national, alphabets, key, "phone")))
+
+    def new(x: Column) -> Column:
+        national = F.substr(x.d, F.length(x.code) + 1, F.lit(15))
+        american = (x.code == "1") & national.rlike("^[2-9]..[2-9].{6}$")
+        alphabets = F.when(american, F.lit("nddndddddd")).otherwise(F.regexp_replace(national, ".", "d"))
+        return F.concat(x.code, permute_symbols(national, alphabets, key, "phone"))
+
+    return _refill(m, let(F.struct(code.alias("code"), _digits(m).alias("d")), new))
 
 
 def _ipv4(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    p = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), key, "ipv4")
-    return F.transform(F.array(p), lambda x: F.concat_ws(".", *[f.cast("string") for f in (F.floor(x.a / 256), x.a % 256, F.floor(x.b / 256), x.b % 256)]))[0]
+    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
+    p = let(octets, lambda o: permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), key, "ipv4"))
+    return let(p, lambda x: F.concat_ws(".", *[f.cast("string") for f in (F.floor(x.a / 256), x.a % 256, F.floor(x.b / 256), x.b % 256)]))
 
 
 def _ssn_ok(m: Column) -> Column:
@@ -145,7 +174,7 @@ def _ssn(m: Column, key: str) -> Column:
     part = F.transform(F.split(m, "-"), lambda x: x.cast("int"))
     area = F.when(part[0] < 666, part[0] - 1).otherwise(part[0] - 2)
     p = permute_pair(area, (part[1] - 1) * 9999 + part[2] - 1, (898, 99 * 9999), key, "ssn")
-    return F.transform(F.array(p), lambda x: F.format_string("%03d-%02d-%04d", F.when(x.a < 665, x.a + 1).otherwise(x.a + 2), F.floor(x.b / 9999) + 1, x.b % 9999 + 1))[0]
+    return let(p, lambda x: F.format_string("%03d-%02d-%04d", F.when(x.a < 665, x.a + 1).otherwise(x.a + 2), F.floor(x.b / 9999) + 1, x.b % 9999 + 1))
 
 
 def _iban_ok(m: Column) -> Column:
@@ -154,9 +183,8 @@ def _iban_ok(m: Column) -> Column:
 
 def _iban(m: Column, key: str) -> Column:
     country, account = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m))
-    new = permute_symbols(account, _alphabets(account), key, "iban")
-    check = 98 - _mod97(F.concat(new, country, F.lit("00")))
-    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+    new = let(account, lambda x: permute_symbols(x, _alphabets(x), key, "iban"))
+    return let(F.struct(country.alias("c"), new.alias("n")), lambda x: F.concat(x.c, F.lpad((98 - _mod97(F.concat(x.n, x.c, F.lit("00")))).cast("string"), 2, "0"), x.n))
 
 
 def _day(m: Column) -> Column:
@@ -174,7 +202,7 @@ def _date_ok(m: Column) -> Column:
 def _date(m: Column, key: str) -> Column:
     n = F.datediff(_day(m), F.lit("1800-01-01").cast("date"))
     p = permute_pair(F.floor(n / 773), n % 773, (189, 773), key, "date")
-    new = F.transform(F.array(p), lambda x: F.date_add(F.lit("1800-01-01").cast("date"), (x.a * 773 + x.b).cast("int")))[0]
+    new = let(p, lambda x: F.date_add(F.lit("1800-01-01").cast("date"), (x.a * 773 + x.b).cast("int")))
     return F.when(m.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
 
 
