@@ -5,8 +5,10 @@ valid stays as it is. A valid value is permuted within its format by a keyed Fei
 equal values have equal pseudonyms in all documents and different values different ones:
 
 - e-mail: letters and digits of the local part; the domain stays
-- payment card (13 to 19 digits, Luhn): the digits between the first and the check digit, which is set anew
-- phone (+ country code, 8 to 15 digits): the national digits; with +1, area and exchange still begin with 2 to 9
+- payment card (13 to 19 digits, Luhn): the digits between the first and the check digit, which is set anew;
+  in a run of numbers every sequence of whole numbers is tried, longer ones first
+- phone (+ country code, 8 to 15 digits): the national digits; with +1, area and exchange still begin with 2 to 9;
+  it ends where another value begins, and with +1 at ten national digits if they are grouped 3-3-4
 - IPv4: the four octets; social security number: within the numbers that can be issued
 - IBAN (mod 97): the account part, check digits set anew; date (1800 to 2199): another valid day
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,6 +147,52 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, let(let(_digits(m), body), checked))
 
 
+def _cards(run: Column, key: str) -> Column:
+    """Number of cards in a run of numbers, and the run with their pseudonyms."""
+
+    def piece(x: Column, i: Column, k: Column) -> Column:
+        more = F.transform(F.sequence(F.lit(2), F.greatest(k, F.lit(2))), lambda j: F.when(j <= k, F.concat(F.get(x.gaps, i + j - 1), F.get(x.numbers, i + j - 1))).otherwise(""))
+        return F.concat(F.get(x.numbers, i), F.array_join(more, ""))
+
+    def best(x: Column, i: Column) -> Column:
+        """The longest card that begins at number i, as k numbers (null if there is none), and whether it is grouped as cards are."""
+
+        def is_card(k: Column) -> Column:
+            joined = F.forall(F.slice(x.gaps, i + 2, k - 1), lambda g: F.length(g) == 1)
+            return joined & (F.get(x.gaps, i + k).rlike("^(?: |$)")) & let(F.array_join(F.slice(x.numbers, i + 1, k), ""), lambda d: F.length(d).between(13, 19) & F.when(F.length(d).between(13, 19), _luhn(d) % 10 == 0).otherwise(False))
+
+        ends = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(x.numbers) - i)), is_card)
+        k = F.when(F.get(x.gaps, i).rlike("(?:^| )$"), F.array_max(ends))
+        shape = lambda n: F.array_join(F.transform(F.slice(x.numbers, i + 1, n), F.length), "-")
+        return let(k, lambda n: F.struct(i.alias("i"), n.alias("k"), F.coalesce((n == 1) | shape(n).rlike("^4-(?:4-4-4(?:-[1-3])?|6-[45])$"), F.lit(False)).alias("grouped")))
+
+    def chosen(x: Column) -> Column:
+        """One entry for each card and each number outside of cards; a card in no usual grouping yields to one that begins inside it."""
+        free = lambda c: c.k.isNotNull() & (c.grouped | ~F.exists(F.slice(x.cards, c.i + 2, c.k - 1), lambda o: o.grouped))
+        start = F.struct(F.lit(0).alias("to"), F.expr("cast(array() AS array<struct<i: int, k: int>>)").alias("out"))
+
+        def step(s: Column, c: Column) -> Column:
+            k = F.when(free(c), c.k).otherwise(0)
+            return F.when(c.i < s.to, s).otherwise(F.struct((c.i + F.greatest(k, F.lit(1))).alias("to"), F.concat(s.out, F.array(F.struct(c.i.alias("i"), k.alias("k")))).alias("out")))
+
+        return F.aggregate(x.cards, start, step, lambda s: s.out)
+
+    def rebuilt(x: Column) -> Column:
+        to = F.transform(x.out, lambda o: F.concat(F.get(x.gaps, o.i), F.when(o.k > 0, let(piece(x, o.i, o.k), lambda m: _card(m, key))).otherwise(F.get(x.numbers, o.i))))
+        return F.struct(F.size(F.filter(x.out, lambda o: o.k > 0)).alias("n"), F.array_join(to, "").alias("to"))
+
+    def scanned(x: Column) -> Column:
+        cards = F.transform(F.sequence(F.lit(0), F.size(x.numbers) - 1), lambda i: best(x, i))
+        return let(F.struct(x.numbers.alias("numbers"), x.gaps.alias("gaps"), cards.alias("cards"), x.run.alias("run")), picked)
+
+    def picked(x: Column) -> Column:
+        with_cards = let(F.struct(x.numbers.alias("numbers"), x.gaps.alias("gaps"), chosen(x).alias("out")), rebuilt)
+        return F.when(F.exists(x.cards, lambda c: c.k.isNotNull()), with_cards).otherwise(F.struct(F.lit(0).alias("n"), x.run.alias("to")))
+
+    parts = F.struct(F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0)).alias("numbers"), F.split(run, r"\d+", -1).alias("gaps"), run.alias("run"))
+    return let(parts, scanned)
+
+
 def _phone_ok(m: Column) -> Column:
     return F.length(_digits(m)).between(8, 15)
 
@@ -213,18 +262,33 @@ class Kind:
     needs: str  # every text with a find holds this character or matches it
     valid: Callable[[Column], Column]
     pseudonym: Callable[[Column, str], Column]
+    hidden: bool = False  # whether later kinds must not find values in its pseudonyms
+    parts: Callable[[Column, str], Column] | None = None  # instead of both: number of values in a match, and what it becomes
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: What a phone separator may not lead into: an address, a date or a social security number.
+_OTHER = rf"(?: (?:{_OCTET}(?:\.{_OCTET}){{3}}(?![\w-]|\.\d)|\d{{4}}-\d{{2}}-\d{{2}}(?!\d)|(?:\d{{2}}/\d{{2}}/|\d{{2}}\.\d{{2}}\.)\d{{4}}(?!\d)|\d{{3}}-\d{{2}}-\d{{4}}(?!\d)))"
+_BETWEEN = rf"(?:(?!{_OTHER})[ .-])?"
+#: A last group after a space is a whole number, not the first digits of an address, date, decimal or card.
+_LAST = r"(?: (?!\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d))\d{2,4}(?![.:/,-]?\d)|[.-]?\d{2,4})?"
+#: More than 15 digits; written out, as a lookbehind may hold no repeated group.
+_LONG = r"\+" + r"[^\d+]{0,2}\d" * 16 + r"(?:[^\d+]{0,2}\d)?" * 3
+_PHONE = (
+    r"(?<![\w+])\+(?:1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|\d{{1,3}}{_BETWEEN}\(?\d{{2,4}}\)?{_BETWEEN}\d{{3,4}}{_BETWEEN}\d{{2,4}}{_LAST}(?!\d)(?<!{_LONG}))"
+)
 KINDS = (
     Kind("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", "@", lambda m: F.lit(True), _email),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", r"[A-Z]{2}\d{2}", _iban_ok, _iban),
-    Kind("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?(?!\d)", r"\+\d", _phone_ok, _phone),
-    Kind("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", r"\d", _card_ok, _card),
+    Kind("phone", _PHONE, r"\+\d", _phone_ok, _phone, hidden=True),
+    Kind("card", r"(?<![\w.+-])\d[\d -]{11,}\d(?![\w-]|\.\d)", r"\d[\d -]{11}", _card_ok, _card, parts=_cards),
     Kind("ipv4", rf"(?<![\w.-]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w-]|\.\d)", r"\d\.\d", lambda m: F.lit(True), _ipv4),
     Kind("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", r"\d-\d", _ssn_ok, _ssn),
     Kind("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)", r"\d\d[-/.]\d", _date_ok, _date),
 )
+#: Characters for private use that stand for the digits of hidden pseudonyms; nothing is hidden in a text that holds one.
+_DIGITS, _MASKS = "0123456789", "".join(chr(0xE0D0 + i) for i in range(10))
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, counts: bool = True) -> DataFrame:
@@ -232,7 +296,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, counts: bool = True) -
     new = [f"n_{k.name}" for k in KINDS] if counts else []
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in new]).alias("row")
     df = docs.select(row, F.col("text").cast("string").alias("t"))
-    df = df.withColumn("some", F.col("t").rlike("[0-9@]"))
+    df = df.withColumns({"some": F.col("t").rlike("[0-9@]"), "open": F.col("t").rlike(f"[{_MASKS}]")})
     none = F.array().cast("array<string>")
     for k in KINDS:
         needs = F.col("t").contains(k.needs) if len(k.needs) == 1 else F.col("t").rlike(k.needs)
@@ -240,14 +304,19 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, counts: bool = True) -
         df = df.withColumn("new", _replaced(k, key))
         gaps = F.split("t", k.pattern, -1)
         text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i).to, F.lit("")))), "")
-        df = df.withColumns({"t": F.when(F.size("found") > 0, text).otherwise(F.col("t")), f"n_{k.name}": F.size(F.filter("new", lambda x: x.ok)).cast("long")}).drop("found", "new")
+        df = df.withColumns({"t": F.when(F.size("found") > 0, text).otherwise(F.col("t")), f"n_{k.name}": F.aggregate("new", F.lit(0), lambda n, x: n + x.n).cast("long")}).drop("found", "new")
+    masked = reduce(lambda a, b: a | b, [F.col(f"n_{k.name}") > 0 for k in KINDS if k.hidden])
+    df = df.withColumn("t", F.when(masked & ~F.col("open"), F.translate("t", _MASKS, _DIGITS)).otherwise(F.col("t")))
     kept = [F.col("t").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in new]
     return df.select(*kept, *new)
 
 
 def _replaced(kind: Kind, key: str) -> Column:
+    if kind.parts:
+        return F.transform("found", lambda m: kind.parts(m, key))
     checked = F.transform("found", lambda m: F.struct(m.alias("m"), F.coalesce(kind.valid(m), F.lit(False)).alias("ok")))
-    return F.transform(checked, lambda x: F.struct(x.ok.alias("ok"), F.when(x.ok, kind.pseudonym(x.m, key)).otherwise(x.m).alias("to")))
+    hide = lambda to: F.when(F.col("open"), to).otherwise(F.translate(to, _DIGITS, _MASKS)) if kind.hidden else to
+    return F.transform(checked, lambda x: F.struct(x.ok.cast("int").alias("n"), F.when(x.ok, let(kind.pseudonym(x.m, key), hide)).otherwise(x.m).alias("to")))
 
 
 def without_personal_data(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:

@@ -198,6 +198,23 @@ def test_pseudonyms(spark):
     assert other != a
 
 
+def test_pseudonyms_end_where_the_value_ends(spark):
+    card, phone = "4111 1111 1111 1111", "+1 (826) 555-4081"
+    rows = [(1, card), (2, phone), (3, "+44 20 7946 0958"), (4, "4111111111111111"), (5, "190.137.223.204")]
+    after = [f"{phone} 190.137.223.204", f"{phone} 1234", "+44 20 7946 0958 190.137.223.204", "+44 20 7946 0958 12.5", "+44 20 7946 0958 2024-02-30", f"{card} 12", "4111111111111111 215", "7 4111111111111111", f"99 {card}", f"{card}  {card}", "4111111111111111 4111111111111111", f"{phone} {card} 12"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, rows + list(enumerate(after, 10)))).collect()}
+    alone = {t: got[i] for i, t in rows}
+    for i, t in enumerate(after, 10):
+        for n, value in enumerate(alone):
+            t = t.replace(value, f"<{n}>")
+        for n, new in enumerate(alone.values()):
+            t = t.replace(f"<{n}>", new)
+        assert got[i] == t
+    assert all(got[i] != t for i, t in rows)
+    counted = pii.pseudonymise(docs(spark, [(1, f"{card}  {card} 12"), (2, "+123 1234 1234 1234 1234")])).orderBy("doc_id").collect()
+    assert [(r.n_card, r.n_phone) for r in counted] == [(2, 0), (0, 1)]
+
+
 def test_pseudonyms_permute(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
     assert df.select(pii.permute_symbols(F.col("s"), F.lit("ddd"), "k", "x").alias("p")).distinct().count() == 1000
