@@ -12,7 +12,8 @@ lines are split at LF. A line fails if
 
 A document is rejected if it has fewer than 20 words, if more than 30 % of its words lie in 8-word
 windows found twice or more, or if the lines that failed for another reason than boilerplate hold more
-than ``MOST_LOST`` % of the characters in its words. The rules are per row: repeated rows get equal
+than ``MOST_LOST`` % of the characters in its words. ``clean`` also rejects those in which these lines
+and boilerplate together hold more than that, so that no text is left empty. The rules are per row: repeated rows get equal
 verdicts, a null text has no words and is rejected, other columns are carried along and may be null.
 """
 
@@ -29,6 +30,12 @@ WINDOW = 8
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies",
     "enable javascript", "click here", "sign up for", "subscribe to our", "share this", "skip to content", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "verwenden cookies", "verwendet cookies",
+    "javascript aktivieren", "klicken sie hier", "hier klicken", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "conditions générales", "politique de cookies", "utilise des cookies", "utilisons des cookies",
+    "activer javascript", "cliquez ici", "inscrivez-vous à", "abonnez-vous à", "partager cet article", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "términos de uso", "términos de servicio", "política de cookies",
+    "utiliza cookies", "utilizamos cookies", "usamos cookies", "habilite javascript", "haga clic aquí", "haz clic aquí", "suscríbete a", "suscríbase a", "saltar al contenido",
 )
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -70,11 +77,11 @@ def _beside(items: Column, i: Column, step: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept and clean_text.
+    """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, stock_chars (of boilerplate), base_failed, kept and clean_text.
 
     Columns of these names that docs already has are replaced.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "clean_text"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "stock_chars", "base_failed", "kept", "clean_text"]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row")
     df = docs.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     df = df.select("row", "t", _words(F.col("t")).alias("words"), F.split("t", "\n").alias("lines"), F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
@@ -107,6 +114,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("good", F.coalesce(good, F.col("once"))).drop("split")
     df = df.withColumns({
         "lost_chars": F.when((F.col("n_dup_lines") > 0) | (F.size("good") < F.size("once")), F.col("word_chars") - _solid(F.col("good"))).otherwise(0).cast("long"),
+        "stock_chars": F.when(_stock(F.col("t")), _solid(F.filter("good", _stock_line))).otherwise(0).cast("long"),
         "clean_text": F.array_join(F.when(_stock(F.col("t")), F.filter("good", lambda x: ~_stock_line(x))).otherwise(F.col("good")), "\n"),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     }).drop("once", "good", "t", "stutters")
@@ -118,5 +126,6 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, without the lines that failed; n_chars, if there, is set anew."""
     # an expression that is not deterministic keeps the optimiser from writing the whole measurement into the filter, once for each use
     kept = measure(docs).withColumn("q_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("q_row") >= 0))
+    kept = kept.where(100 * (F.col("lost_chars") + F.col("stock_chars")) <= MOST_LOST * F.col("word_chars"))
     text = F.col("clean_text")
     return kept.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -128,6 +128,13 @@ def test_quality(spark):
     assert {r.doc_id: r.text for r in out} == {1: good, 8: good} and quality.measure(docs(spark, [])).count() == 0
 
 
+def test_quality_counts_boilerplate(spark):
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    stock = [f"Click here for page{i} of our privacy policy" for i in range(9)]
+    rows = [(1, "\n".join(stock)), (2, "\n".join([good, *stock])), (3, good + "\n" + stock[0]), (4, good + "\nTous droits réservés\nAlle Rechte vorbehalten\nTodos los derechos reservados")]
+    assert {r.doc_id: r.text for r in quality.clean(docs(spark, rows)).collect()} == {3: good, 4: good}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "u3", "<p>é</p>"), (1, "u1", "<p>é</p>"), (2, None, None), (4, "u4", ""), (None, "n", "x"), (7, "u7", "long " * 50000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
