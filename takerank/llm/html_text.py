@@ -3,7 +3,9 @@
 The page is parsed into a tree with the repairs that browsers make (a paragraph ends where a block
 begins, void elements have no content, what is left open ends with its parent). Menus, headers and
 footers of the page, asides, forms, scripts, comments of readers, notices and adverts go, by element,
-role or the words of class and id. Each paragraph-like block gives points for its length and commas,
+role or the words of class and id; words of class and id remove nothing that holds a large share of
+the page's running text, readers' comments, adverts and cookie notes apart, and are not heeded if no
+text would be left. Each paragraph-like block gives points for its length and commas,
 discounted by its link density, to its parent in full, to the grandparent by half and to further
 ancestors by a third of that of the generation before. The container of the best score is kept with
 those of its siblings that score a fifth as much or are paragraphs of running text; a container
@@ -36,10 +38,15 @@ IN_HEAD = frozenset("base link meta noscript script style template title".split(
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAF = frozenset("p pre blockquote li td dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 # Words of class and id names, and roles, of what is not the article.
-GONE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-?bar|aside|footer|masthead|site-?header|page-?header|cookie\w*|consent|notice\w*|newsletter|subscri\w*|popup|modal|overlay|social|share|sharing|related|recommend\w*|comment\w*|disqus|respond|reply|replies|login|signup|search|pagination|pager|widget\w*|toolbar|skip\w*|hidden)(?:$|[\s_-])",
-    re.I,
+# With each, the share of the page's running text up to which they go; a wrapper that holds more is not what its name says.
+_WORDS = (
+    (r"ad|ads|advert\w*|adsense|sponsor\w*|cookies?|consent|comments?|commentlist|commenters?|disqus|respond|reply|replies", 1.0),
+    (r"banner|breadcrumb\w*|sidebar\w*|side-?bar|aside|footer|masthead|site-?header|page-?header|newsletter|subscri\w*|popup|modal|overlay|login|signup|pagination|pager|toolbar|widget\w*", 0.5),
+    (r"promo\w*|nav\w*|menu\w*|notice\w*|comment\w*|social|share|sharing|related|recommend\w*|search|skip\w*|hidden", 0.2),
 )
+GONE_NAME = tuple((re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I), share) for words, share in _WORDS)
+# Names that tell of a state or of another part: has-sidebar, comments-open, hidden-print.
+MODIFIER = re.compile(r"(?:(?<![^\s_-])(?:has|no|with|without)[_-]\S+|(?<!\S)[\w-]+[_-](?:open|closed|enabled|disabled|on|off)(?!\S)|(?<!\S)hidden-(?:print|xs|sm|md|lg|xl|mobile|phone|tablet|desktop)(?!\S))", re.I)
 GONE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
 
 DEEPEST = 256
@@ -51,31 +58,86 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "name", "parent", "score")
+    __slots__ = ("children", "most", "name", "parent", "score")
 
-    def __init__(self, name: str, parent: Node | None):
+    def __init__(self, name: str, parent: Node | None, most: float | None = None):
         self.name, self.parent, self.children, self.score = name, parent, [], 0.0
+        self.most = most  # by its class or id it goes if it holds no larger a share of the running text; None: it stays
 
 
-def _gone(name: str, attributes: str) -> bool:
+def _gone(name: str, attributes: str) -> tuple[bool, float | None]:
+    """Whether an element goes for sure, and the share of the running text up to which it goes by its class or id."""
+    most = None
     if name in GONE:
-        return True
+        return True, most
     if not attributes.strip() or name in {"html", "body"}:
-        return False
+        return False, most
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key not in _WANTED:
             continue
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in GONE_ROLE):
-            return True
+            return True, most
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in {"class", "id"} and name not in {"article", "main"} and GONE_NAME.search(value):
-            return True
-    return False
+            return True, most
+        if key in {"class", "id"} and name not in {"article", "main"}:
+            named = MODIFIER.sub(" ", value)
+            most = max((share for words, share in GONE_NAME if words.search(named)), default=most or 0.0) if named.strip() else most
+            most = most or None
+    return False, most
 
 
-def parse(page: str) -> Node:
+def _running(node: Node, shares: dict[int, int], sure: bool) -> int:
+    """Characters of running text outside links under each node, by id(); sure: without what goes by its name whatever it holds."""
+    total = 0
+    run: list[str] = []
+
+    def flush() -> None:
+        nonlocal total
+        n = len(_WHITE.sub(" ", "".join(run)).strip())
+        total += n if n >= 25 else 0
+        run.clear()
+
+    def walk(n: Node) -> None:
+        nonlocal total
+        for c in n.children:
+            if isinstance(c, str):
+                run.append(c)
+            elif sure and c.most == 1:
+                continue
+            elif c.name in BLOCK or c.most:
+                flush()
+                total += _running(c, shares, sure)
+            elif c.name != "a":
+                walk(c)
+
+    walk(node)
+    flush()
+    shares[id(node)] = total
+    return total
+
+
+def _prune(root: Node) -> None:
+    """Take away what goes by its class or id: it holds a small share of the running text, or links for the most part."""
+    shares: dict[int, int] = {}
+    total = _running(root, shares, True)
+
+    def walk(n: Node) -> None:
+        left = []
+        for c in n.children:
+            if not isinstance(c, str):
+                if c.most is not None:
+                    text = _text(c)
+                    if c.most == 1 or shares.get(id(c), 0) <= c.most * total or 2 * len(_text(c, True)) > len(text):
+                        continue
+                walk(c)
+            left.append(c)
+        n.children = left
+
+    walk(root)
+
+
+def parse(page: str, by_name: bool = True) -> Node:
     """The tree of a page without what is not the article; texts are strings among the children."""
     root = node = Node("#root", None)
     open_names: list[tuple[str, Node | None]] = []  # every open element, with its node unless it is gone
@@ -130,7 +192,10 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if _gone(name, attributes) or gone:
+        sure, most = _gone(name, attributes) if not gone else (True, None)
+        if not by_name:
+            most = None
+        if sure or (most is not None and len(open_names) >= DEEPEST):
             # the header of an article holds its headline; that of a page does not
             open_names.append((name, None))
             gone += 1
@@ -144,10 +209,12 @@ def parse(page: str) -> Node:
                 node.children.append(Node("hr", node))
             open_names.append((name, node))
             continue
-        child = Node(name, node)
+        child = Node(name, node, most)
         node.children.append(child)
         open_names.append((name, child))
         node = child
+    if by_name:
+        _prune(root)
     return root
 
 
@@ -255,7 +322,8 @@ def main_text(page: str | None) -> str:
     """The article of a page: blocks joined by an empty line."""
     if not page:
         return ""
-    return "\n\n".join(b for n in _kept(parse(page)) for b in blocks(n))
+    text = "\n\n".join(b for n in _kept(parse(page)) for b in blocks(n))
+    return text or "\n\n".join(b for n in _kept(parse(page, by_name=False)) for b in blocks(n))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -236,6 +236,21 @@ def test_main_text():
     assert html_text.main_text(None) == "" and html_text.main_text("<p>short</p>") == "short" and html_text.main_text("<div>" * 5000 + "deep").strip() == "deep"
 
 
+def test_main_text_in_wrappers_with_telling_names():
+    long = "Running text with commas, clauses, and more of it so that it counts. " * 3
+    body = f"<p>{long}</p><p>{long}</p>"
+    want = [long.strip()] * 2
+    for name in ("content has-sidebar", "no-sidebar", "post comments-open", "commentary", "hidden-print article-body", "social-policy", "search-result-page", "nav-wrapper", "menus", "comments"):
+        page = f"<html><body><ul class=menu><li><a href=x>{long}</a></ul><div class='{name}'>{body}</div><div class=ad><p>{long}</p></div></body></html>"
+        if name == "comments":
+            page = page.replace("class=ad", "class=post")
+            assert html_text.main_text(page).split("\n\n") == want[:1]
+            assert html_text.main_text(f"<div class={name}>{body}</div>").split("\n\n") == want
+        else:
+            assert html_text.main_text(page).split("\n\n") == want, name
+    assert html_text.main_text(f"<body>{body}<div class=promo><p>Buy our splendid things now, all of you.</p></div>").split("\n\n") == want
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(2)
     items = [" ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in (3, 12, 20, 33, 50)]
