@@ -140,7 +140,7 @@ def topic_cap(spark, sf_dir):
 @query
 def diverse_selection(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("sig"))
-    return duplicates.diverse(e, [F.col("vec_id")], 50, 0.3, candidates=500).select("vec_id", "pick")
+    return duplicates.diverse(e, [F.col("vec_id")], 50, 0.3).select("vec_id", "pick")
 
 
 @query

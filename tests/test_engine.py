@@ -101,6 +101,16 @@ def test_diverse_backfills(spark):
     assert sorted(got) == [0, 1, 2, 3] and got[0] == 0 and got[-1] == 1
 
 
+def test_diverse_walks_past_a_hot_group(spark):
+    rows = [(-1, None), *((i, [1.0, 0.0, i * 1e-6]) for i in range(40)), (50, [-1.0, 0.1, 0.0]), (51, [0.9, 1.0, 0.0]), (52, [0.9, -1.0, 0.0])]
+    df = spark.createDataFrame(rows, "i long, sig array<double>")
+    got = [r.i for r in duplicates.diverse(df, [F.col("i")], 3, 0.5, block=5).orderBy("pick").collect()]
+    assert got == [0, 50, 51]
+    assert [r.i for r in duplicates.diverse(df.where("i < 40"), [F.col("i")], 3, 0.99, block=5).orderBy("pick").collect()][0] == 0
+    none = spark.createDataFrame([(i, None) for i in range(4)], "i long, sig array<double>")
+    assert [r.i for r in duplicates.diverse(none, [F.col("i")], 3).orderBy("pick").collect()] == [0, 1, 2]
+
+
 def test_tempo_columns(spark):
     df = spark.createDataFrame([(86.0, 172.0), (100.0, 100.0), (None, 3.0)], "a double, b double")
     got = df.select(columns.tempo_ratio(F.col("a"), F.col("b")), columns.tempo_distance(F.col("a"), F.col("b"))).collect()
