@@ -3,10 +3,12 @@
 A text is brought to canonical form: lower case, copyright lines and ``all rights reserved`` dropped,
 equivalent spellings unified (licence and license, sub-licence, merchantability and the like),
 punctuation and white space gone. The SHA-256 of what is left is joined with the digests of known
-licence texts. The whole document is looked up, and each of its lines and paragraphs, since licence
-notices stand as a line or paragraph inside other text.
+licence texts. Every run of whole lines that is as long in canonical form as a known text is looked up:
+the whole document, lines, paragraphs, and texts of many paragraphs inside other text, however wrapped.
+The cost grows with the number of different lengths of the known texts.
 
-The known texts are a table (license_id, text); ``NOTICES`` are the standard notices built in. The
+The known texts are a table (license_id, text); ``NOTICES`` are the standard notices built in, and with
+them the full texts in the folder license_texts and those of ``BSD``. The
 table of digests is broadcast only below ``KNOWN_ROWS`` rows; otherwise the join shuffles the digests.
 A document without any known text, a null or an empty one gets an empty list. Rows are told apart by
 their whole content, so null ids and repeated rows do no harm.
@@ -14,9 +16,13 @@ their whole content, so null ids and repeated rows do no harm.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from takerank.llm.pii import let
+
 KNOWN_ROWS = 50_000
 
 # Spellings that count as equal, as the licence matching guidelines of SPDX list them.
@@ -57,9 +63,25 @@ NOTICES = (
 )
 
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+# Clauses with numbers and with signs only.
+BSD = tuple((f"BSD-{n}-Clause", _BSD + "".join((f"{i + 1}. " if numbered else "* ") + c + "\n\n" for i, c in enumerate(_BSD_CLAUSES[:n])) + _BSD_END) for n in (2, 3) for numbered in (True, False))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """The full texts built in, as (license_id, text)."""
+    return [*BSD, *((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))]
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """The notices built in, as a table (license_id, text)."""
-    return spark.createDataFrame(list(NOTICES), "license_id string, text string")
+    """The notices and full texts built in, as a table (license_id, text)."""
+    return spark.createDataFrame([*NOTICES, *full_texts()], "license_id string, text string")
 
 
 def canonical(text: Column) -> Column:
@@ -76,9 +98,9 @@ def _digest(text: Column) -> Column:
 
 
 def digests(texts: DataFrame) -> DataFrame:
-    """license_id, short key and SHA-256 of the canonical form of each known text; empty forms are left out."""
+    """license_id, short key, SHA-256 and length of the canonical form of each known text; empty forms are left out."""
     form = texts.select("license_id", canonical(F.col("text")).alias("form")).where("form != ''")
-    return form.select("license_id", _digest(F.col("form")).alias("key"), F.sha2("form", 256).alias("sha256")).distinct()
+    return form.select("license_id", _digest(F.col("form")).alias("key"), F.sha2("form", 256).alias("sha256"), F.length("form").alias("n")).distinct()
 
 
 def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -88,14 +110,24 @@ def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row")
     keys = [f"row.`{c}`" for c, kind in docs.dtypes if c not in names and "map<" not in kind and "variant" not in kind]
     rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("rid", F.xxhash64("t", *keys))
-    # the whole text, its paragraphs and its lines; a text of one line is looked up once
-    units = F.array_distinct(F.concat(F.array("t"), F.split("t", r"\n\s*\n"), F.split("t", "\n")))
-    unit = rows.select("rid", F.posexplode(units).alias("place", "unit")).where(F.col("unit") != "")
-    form = unit.select("rid", "place", canonical(F.col("unit")).alias("form")).where("form != ''")
-    form = form.select("rid", "place", _digest(F.col("form")).alias("key"), "form")
+    # whole lines in canonical form: a run of them is as long as the distance of two ends
+    lengths = [r.n for r in table.select("n").distinct().orderBy("n").collect()]  # far fewer than texts
+    known_lengths = F.array(*map(F.lit, lengths)).cast("array<int>")
+
+    def ended(forms: Column) -> Column:
+        ends = F.aggregate(forms, F.array(F.lit(0)), lambda a, f: F.concat(a, F.array(F.element_at(a, -1) + F.length(f))))
+        return let(F.struct(ends.alias("ends"), F.array_join(forms, "").alias("form")), units)
+
+    def units(x: Column) -> Column:
+        fits = F.filter(known_lengths, lambda n: n <= F.element_at(x.ends, -1))
+        runs = F.flatten(F.transform(fits, lambda n: F.transform(F.array_intersect(F.transform(x.ends, lambda e: e + n), x.ends), lambda e: F.struct(e.alias("to"), n.alias("n")))))
+        return F.transform(runs, lambda r: let(F.substr(x.form, r.to - r.n + 1, r.n), lambda u: F.struct((r.n == F.element_at(x.ends, -1)).alias("whole"), _digest(u).alias("key"), F.sha2(u, 256).alias("sha256"))))
+
+    forms = F.filter(F.transform(F.split("t", "\n"), canonical), lambda f: f != "")
+    unit = rows.select("rid", F.inline(let(forms, ended)))
     small = table.limit(KNOWN_ROWS + 1).count() <= KNOWN_ROWS
-    hits = form.join(F.broadcast(table) if small else table, "key").where(F.sha2("form", 256) == F.col("sha256"))
-    found = hits.groupBy("rid").agg(F.sort_array(F.collect_set("license_id")).alias("licenses"), F.min(F.when(F.col("place") == 0, F.col("license_id"))).alias("whole_text"))
+    hits = unit.join(F.broadcast(table) if small else table, ["key", "sha256"])
+    found = hits.groupBy("rid").agg(F.sort_array(F.collect_set("license_id")).alias("licenses"), F.min(F.when(F.col("whole"), F.col("license_id"))).alias("whole_text"))
     out = rows.select("rid", "row").join(found, "rid", "left")
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), "whole_text")
 

@@ -89,6 +89,13 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "MIT"), 2: ("MIT", None), 3: ("", None), 4: ("", None), 5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0")}
 
 
+def test_licenses_of_many_paragraphs_inside_text(spark):
+    mit, isc, full = licenses.NOTICES[0][1], licenses.NOTICES[4][1], dict(licenses.full_texts())
+    rows = [(1, f"Prose.\n\n{mit}\n\nCode."), (2, f"code()\n{isc}"), (3, "\n".join(["Intro", *(f"# {x}" for x in full["Apache-2.0"].split("\n")), "end"])), (4, full["GPL-3.0"]), (5, mit.split("\n\n")[0]), (6, f"a\n\n{full['BSD-3-Clause']}\n\n{mit}".replace(" the ", "\nthe "))]
+    got = {r.doc_id: (r.licenses, r.whole_license) for r in licenses.report(docs(spark, rows)).collect()}
+    assert got == {1: ("MIT", None), 2: ("ISC", None), 3: ("Apache-2.0", None), 4: ("GPL-3.0", "GPL-3.0"), 5: ("", None), 6: ("BSD-3-Clause,MIT", None)}
+
+
 def python_spans(text):
     out = []
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
