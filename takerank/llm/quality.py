@@ -4,17 +4,20 @@ DataFrame functions only. Words are runs of characters other than space, tab, LF
 lines are split at LF. A line fails if
 
 - punctuation: at least half of its words end in two or more of ``!?`` or in a symbol ``#*$%&<>``, or
-  at least a fifth of the characters in its words are symbols ``#*$%&|<>``;
-- navigation: at least a third of its words are separators such as ``|`` or ``>``;
-- boilerplate: it has at most 25 words and holds one of the phrases of ``BOILERPLATE`` in any case;
+  at least a fifth of the characters in its words are symbols ``#*$%&|<>``, or it has ten words or more
+  and not one mark of a sentence such as ``.``, ``,`` or ``?``;
+- navigation: at least a third of its words are separators such as ``|`` or ``>``, or two or more
+  separators part it into entries of three words or fewer on average;
+- boilerplate: phrases of ``BOILERPLATE``, in any case and each counted once, make up at least a tenth
+  of its characters, so that a long sentence which mentions one stays;
 - repetition: it has a word and equals an earlier line of the document, or it has four words or more
   and at least two thirds of them equal the word before.
 
 A document is rejected if it has fewer than 20 words, if more than 30 % of its words lie in 8-word
-windows found twice or more, or if the lines that failed for another reason than boilerplate hold more
-than ``MOST_LOST`` % of the characters in its words. ``clean`` also rejects those in which these lines
-and boilerplate together hold more than that, so that no text is left empty. The rules are per row: repeated rows get equal
-verdicts, a null text has no words and is rejected, other columns are carried along and may be null.
+windows found twice or more, or if the lines that failed, for whatever reason, hold more than
+``MOST_LOST`` % of the characters in its words. So no document that is kept is left empty. The rules are
+per row: repeated rows get equal verdicts, a null or empty text has no words and is rejected, an empty
+table gives an empty result, other columns are carried along and may be null.
 """
 
 from __future__ import annotations
@@ -42,7 +45,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 LOUD_END = r"(?:[!?]{2,}|[#*$%&<>])$"
 SEPARATOR = r"^[|>»›·•/]+$"
-#: A text in which no line can fail for its punctuation or as navigation does not match this.
+MARK = r"[.,;:!?…。、！？，]"
+UNMARKED = 10  # words of a line that needs a mark of a sentence
+ENTRY = 3  # words of an entry of navigation, on average
+STOCK_SHARE = 10  # percent of a line's characters that make it boilerplate
+#: A text in which no line can fail for its symbols or as navigation does not match this.
 SUSPECT = r"[!?]{2}|[#*$%&|<>»›·•/]"
 
 
@@ -61,7 +68,8 @@ def _stock(text: Column) -> Column:
 
 
 def _stock_line(line: Column) -> Column:
-    return _stock(line) & (F.size(_words(line)) <= 25)
+    held = F.aggregate(F.array(*map(F.lit, BOILERPLATE)), F.lit(0), lambda n, p: n + F.when(F.lower(line).contains(p), F.length(p)).otherwise(0))
+    return _stock(line) & (100 * held >= STOCK_SHARE * F.length(line))
 
 
 def _bad_line(line: Column, words: Column) -> Column:
@@ -69,7 +77,9 @@ def _bad_line(line: Column, words: Column) -> Column:
     separators = F.size(F.filter(words, lambda w: w.rlike(SEPARATOR)))
     same = F.size(F.filter(words, lambda w, i: w.eqNullSafe(_beside(words, i, -1))))
     symbols, n = F.regexp_count(line, F.lit(SYMBOLS)), F.size(words)
-    return (n > 0) & ((2 * loud >= n) | (3 * separators >= n) | (5 * symbols >= F.length(F.array_join(words, ""))) | ((n >= 4) & (3 * same >= 2 * n)))
+    punctuation = (2 * loud >= n) | (5 * symbols >= F.length(F.array_join(words, ""))) | ((n >= UNMARKED) & ~line.rlike(MARK))
+    navigation = (3 * separators >= n) | ((separators >= 2) & (n - separators <= ENTRY * (separators + 1)))
+    return (n > 0) & (punctuation | navigation | ((n >= 4) & (3 * same >= 2 * n)))
 
 
 def _beside(items: Column, i: Column, step: int) -> Column:
@@ -77,11 +87,11 @@ def _beside(items: Column, i: Column, step: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, stock_chars (of boilerplate), base_failed, kept and clean_text.
+    """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept and clean_text (the lines that passed).
 
     Columns of these names that docs already has are replaced.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "stock_chars", "base_failed", "kept", "clean_text"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "clean_text"]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row")
     df = docs.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     df = df.select("row", "t", _words(F.col("t")).alias("words"), F.split("t", "\n").alias("lines"), F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
@@ -108,24 +118,31 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     once = F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x.i, x.x))), lambda x: x.x)
     df = df.withColumn("once", F.coalesce(once, F.col("lines"))).drop("numbered", "lines")
     # two thirds of a line's words can equal the word before only where three equal words follow each other
-    suspect = F.col("t").rlike(SUSPECT) | (F.col("stutters") > 0)
+    unmarked = F.exists("once", lambda x: (F.length(x) >= 2 * UNMARKED - 1) & ~x.rlike(MARK))
+    suspect = F.col("t").rlike(SUSPECT) | (F.col("stutters") > 0) | unmarked
     df = df.withColumn("split", F.when(suspect, F.transform("once", lambda x: F.struct(x.alias("x"), _words(x).alias("w")))))
     good = F.transform(F.filter("split", lambda y: ~_bad_line(y.x, y.w)), lambda y: y.x)
     df = df.withColumn("good", F.coalesce(good, F.col("once"))).drop("split")
+    df = df.withColumn("fine", F.when(_stock(F.col("t")), F.filter("good", lambda x: ~_stock_line(x))).otherwise(F.col("good")))
+    lost = (F.col("n_dup_lines") > 0) | (F.size("fine") < F.size("once"))
     df = df.withColumns({
-        "lost_chars": F.when((F.col("n_dup_lines") > 0) | (F.size("good") < F.size("once")), F.col("word_chars") - _solid(F.col("good"))).otherwise(0).cast("long"),
-        "stock_chars": F.when(_stock(F.col("t")), _solid(F.filter("good", _stock_line))).otherwise(0).cast("long"),
-        "clean_text": F.array_join(F.when(_stock(F.col("t")), F.filter("good", lambda x: ~_stock_line(x))).otherwise(F.col("good")), "\n"),
+        "lost_chars": F.when(lost, F.col("word_chars") - _solid(F.col("fine"))).otherwise(0).cast("long"),
+        "clean_text": F.array_join("fine", "\n"),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-    }).drop("once", "good", "t", "stutters")
+    }).drop("once", "good", "fine", "t", "stutters")
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.col("word_chars")))
     return df.select("row.*", *names)
 
 
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, the figures and verdict, and length and SHA-256 of the text that would be left."""
+    measured = measure(docs.select("doc_id", "text"))
+    return measured.withColumns({"clean_chars": F.length("clean_text").cast("long"), "clean_sha256": F.sha2("clean_text", 256)}).drop("text", "clean_text")
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, without the lines that failed; n_chars, if there, is set anew."""
     # an expression that is not deterministic keeps the optimiser from writing the whole measurement into the filter, once for each use
     kept = measure(docs).withColumn("q_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("q_row") >= 0))
-    kept = kept.where(100 * (F.col("lost_chars") + F.col("stock_chars")) <= MOST_LOST * F.col("word_chars"))
     text = F.col("clean_text")
     return kept.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text", "stock_chars")
+    return quality.report(_table(spark, sf_dir, "documents"))
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

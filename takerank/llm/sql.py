@@ -23,7 +23,7 @@ SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-_STOCK = " OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)
+_STOCK = "list_sum(list_transform([" + ", ".join(f"'{p}'" for p in quality.BOILERPLATE) + "], lambda p: CASE WHEN contains(lower(x), p) THEN len(p) ELSE 0 END))"
 _WORDS_OF = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 QUALITY = rf"""
@@ -50,19 +50,23 @@ WITH t AS (
     len(regexp_extract_all(x, '{quality.SYMBOLS}')) AS symbols,
     len(list_filter(range(2, len(words) + 1), lambda j: words[j] = words[j - 1])) AS same
   FROM lw
+), judged AS (
+  SELECT *, n > 0 AND (again OR 2 * loud >= n OR 5 * symbols >= solid OR (n >= 10 AND NOT regexp_matches(x, '[.,;:!?…。、！？，]'))
+    OR 3 * separators >= n OR (separators >= 2 AND n - separators <= 3 * (separators + 1)) OR (n >= 4 AND 3 * same >= 2 * n)
+    OR (stock > 0 AND 100 * stock >= 10 * len(x))) AS bad
+  FROM (SELECT *, {_STOCK} AS stock FROM lm)
 ), lost AS (
-  SELECT doc_id,
-    count(*) FILTER (n > 0 AND again) AS n_dup_lines,
-    coalesce(sum(solid) FILTER (n > 0 AND (again OR 2 * loud >= n OR 3 * separators >= n OR 5 * symbols >= solid OR (n >= 4 AND 3 * same >= 2 * n))), 0) AS lost_chars
-  FROM lm GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (n > 0 AND again) AS n_dup_lines, coalesce(sum(solid) FILTER (bad), 0) AS lost_chars,
+    coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT bad), '') AS clean
+  FROM judged GROUP BY doc_id
 ), m AS (
   SELECT doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(t, '{quality.SYMBOLS}')) AS n_symbols,
-    n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost_chars
+    n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost_chars, clean
   FROM w JOIN lost USING (doc_id) LEFT JOIN repeats USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   lost_chars::BIGINT AS lost_chars, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words AND 100 * lost_chars <= {quality.MOST_LOST} * word_chars AS kept
+  n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words AND 100 * lost_chars <= 40 * word_chars AS kept, len(clean)::BIGINT AS clean_chars, sha256(clean) AS clean_sha256
 FROM m
 """
 
