@@ -2,22 +2,28 @@
 
 Texts are compared as multisets of word shingles (five words; a shorter item is one shingle of all
 its words). Over each document slides a window as long as the benchmark item; a document shorter
-than the item is one window. The fingerprint of a window is looked up among those of the items of
-that length by blocks: two fingerprints within ``RADIUS`` differ in at most ``NEAR`` bits of at least
-one of the ``BLOCKS`` blocks, so none within the radius is missed. Candidates are verified exactly:
-the sum of the smaller counts of all shingles over the sum of the larger ones is at least 0.75.
-Windows that hold too few shingles of the benchmark to reach that are left out beforehand, which
-loses nothing: the sum of the smaller counts is at most the number of such shingles.
-
-At a similarity of exactly 0.75 a fingerprint differs in 44 of 256 bits on average, with a standard
-deviation of 6; the radius is 63.
-
-The benchmark is the query set. It is broadcast in blocks of at most ``BLOCK_BYTES`` of text, each
-matched against all documents. Items and documents without words match nothing.
+than the item is one window. The items of a length have a multi-index: for each of the ``BLOCKS``
+blocks of a fingerprint a table from the block's value to the items that have it. Two fingerprints
+within ``RADIUS`` differ in at most ``NEAR`` bits of at least one block, so a window finds every item
+within the radius by looking up, in each table, the values within ``NEAR`` bits of its own: it probes
+the neighbours of its value or goes through the values that the table holds, whichever are fewer.
+Only items found so are candidates. Candidates are verified exactly: the sum of the smaller counts of
+all shingles over the sum of the larger ones is at least 0.75.
+
+Windows that hold too few shingles of the items of their length to reach that get no fingerprint,
+which loses nothing: the sum of the smaller counts is at most the number of such shingles. At a
+similarity of exactly 0.75 a fingerprint differs in 44 of 256 bits on average, with a standard
+deviation of 6; the radius is 79.
+
+The benchmark is the query set. It is broadcast in parts of at most ``PART_BYTES`` of text, each
+matched against all documents in one pass; a worker builds the index of a part once. Items and
+documents without words, null or empty, match nothing; of repeated items each is found, repeated
+documents get equal results, empty tables give empty results, and other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -33,9 +39,9 @@ from takerank.llm.cluster import ready
 
 BITS = 256
 BLOCKS = 16
-NEAR = 3
+NEAR = 4
 RADIUS = BLOCKS * (NEAR + 1) - 1
-BLOCK_BYTES = 16 << 20
+PART_BYTES = 64 << 20
 WINDOWS = 256  # fingerprinted at once
 _SALTS = (np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
 
@@ -62,6 +68,43 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
     return float(np.minimum(a, b).sum() / np.maximum(a, b).sum())
 
 
+def _neighbours(bits: int, near: int) -> np.ndarray:
+    """All numbers of so many bits with at most ``near`` ones."""
+    every = np.arange(1 << bits, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= near]
+
+
+class MultiIndex:
+    """Block tables of fingerprints: for each block the distinct values, sorted, and the items of each."""
+
+    MASKS = _neighbours(16, NEAR)
+
+    def __init__(self, prints: np.ndarray):
+        self.tables = []
+        for column in prints.T:
+            order = np.argsort(column, kind="stable")
+            values, first = np.unique(column[order], return_index=True)
+            self.tables.append((values, np.append(first, len(order)), order))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of a print, item): each pair once of which some block differs in at most NEAR bits."""
+        found: list[np.ndarray] = []
+        items = len(self.tables[0][2])
+        for (values, first, order), mine in zip(self.tables, prints.T, strict=True):
+            if len(values) <= len(self.MASKS):
+                row, at = np.nonzero(np.bitwise_count(mine[:, None] ^ values) <= NEAR)
+            else:
+                probes = mine[:, None] ^ self.MASKS
+                at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
+                row, column = np.nonzero(values[at] == probes)
+                at = at[row, column]
+            count = first[at + 1] - first[at]
+            flat = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            found.append(np.repeat(row, count) * items + order[flat])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // items, pairs % items
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of the values are in known, which is sorted and not empty."""
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
@@ -86,7 +129,8 @@ class Benchmark:
         for size, own in sorted(by.items()):
             flat = np.concatenate([self.items[i][0] for i in own])
             first = np.arange(len(own)) * size
-            self.groups[size] = (np.array(own), fingerprints(flat, first, np.full(len(own), size)), np.unique(flat))
+            prints = fingerprints(flat, first, np.full(len(own), size))
+            self.groups[size] = (np.array(own), prints, MultiIndex(prints), np.unique(flat))
         self.known = np.unique(np.concatenate([*(self.items[i][0] for own in by.values() for i in own), np.zeros(0, np.uint64)]))
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -125,7 +169,7 @@ class Benchmark:
 
     def _match_row(self, row: int, h: np.ndarray, hits: np.ndarray, words: int) -> Iterator[tuple[int, int, float, int, int]]:
         """hits: places of the shingles that any item has."""
-        for size, (own, prints, known) in self.groups.items():
+        for size, (own, prints, index, known) in self.groups.items():
             window = min(size, len(h))
             need = self.needed(window, size)
             if need > window or len(hits) < need:
@@ -139,29 +183,42 @@ class Benchmark:
             starts = np.flatnonzero(total[window:] - total[:-window] >= need)
             if not len(starts):
                 continue
-            mine = fingerprints(h, starts, np.full(len(starts), window))
             best: dict[int, tuple[float, int]] = {}
-            for start, own_print in zip(starts.tolist(), mine, strict=True):
-                apart = np.bitwise_count(prints ^ own_print)
-                for j in np.flatnonzero((apart.min(axis=1) <= NEAR) & (apart.sum(axis=1) <= RADIUS)).tolist():
-                    item = int(own[j])
+            for k in range(0, len(starts), WINDOWS):
+                some = starts[k : k + WINDOWS]
+                mine = fingerprints(h, some, np.full(len(some), window))
+                place, j = index.candidates(mine)
+                near = np.bitwise_count(mine[place] ^ prints[j]).sum(axis=1) <= RADIUS
+                for start, item in zip(some[place[near]].tolist(), own[j[near]].tolist(), strict=True):
                     s = similarity(h[start : start + window], self.items[item][0])
                     if 100 * s >= self.percent - 1e-9 and s > best.get(item, (0.0, 0))[0]:
                         best[item] = (s, start)
             yield from ((row, item, s, start, min(window + 4, words)) for item, (s, start) in best.items())
 
 
-def _blocks(benchmark: DataFrame, id_column: str) -> list[Broadcast]:
-    """The benchmark as broadcasts of (ids, texts), each of at most BLOCK_BYTES of text, or a single longer item."""
+_built: dict[tuple[str, int], Benchmark] = {}
+
+
+def _index(shared: Broadcast, percent: int) -> Benchmark:
+    """The index of a broadcast part, built once a worker; a worker keeps the last one."""
+    name, _, texts = shared.value
+    if (name, percent) not in _built:
+        _built.clear()
+        _built[name, percent] = Benchmark(texts, percent)
+    return _built[name, percent]
+
+
+def _parts(benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark as broadcasts of (ids, texts), each of about PART_BYTES of text at most, or a single longer item."""
     spark = ready(benchmark.sparkSession)
-    rows = benchmark.select(F.col(id_column).alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    parts = max(1, -(-2 * total // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
+    parts = max(1, -(-2 * total // PART_BYTES)) if total > PART_BYTES else 1
     out = []
     for part in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        found = own.collect()  # a block of the stated query set, bounded above
-        out.append(spark.sparkContext.broadcast(([r.item_id for r in found], [r.text for r in found])))
+        found = own.collect()  # a part of the stated query set, bounded above
+        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, [r.item_id for r in found], [r.text for r in found])))
     return out
 
 
@@ -172,7 +229,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame
 
     def found(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Benchmark(shared.value[1], percent)
+            index = _index(shared, percent)
             for batch in batches:
                 out = [
                     (row + r, item, s, start, n)
@@ -181,12 +238,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame
                 ]
                 if out:
                     row, item, s, start, n = zip(*out, strict=True)
-                    ids = shared.value[0]
+                    ids = shared.value[1]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([ids[i] for i in item]), pa.array(s), pa.array(start, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
         return rows.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, start_word long, n_words long")
 
-    return reduce(DataFrame.unionByName, (found(x) for x in _blocks(benchmark, "item_id")))
+    return reduce(DataFrame.unionByName, (found(x) for x in _parts(benchmark)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
@@ -196,7 +253,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> D
         place = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Benchmark(shared.value[1], percent)
+            index = _index(shared, percent)
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for row, _, raw, offsets in wordhash.chunks(batch.column(place)):
@@ -205,4 +262,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> D
 
         return docs.mapInArrow(run, docs.schema)
 
-    return reduce(without, _blocks(benchmark, "item_id"), docs)
+    return reduce(without, _parts(benchmark), docs)
