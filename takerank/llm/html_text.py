@@ -11,15 +11,18 @@ ancestors by a third of that of the generation before. The container of the best
 those of its siblings that score a fifth as much or are paragraphs of running text; a container
 yields to an ancestor that holds the text of several such containers.
 
-A null or empty page, and one without text, gives an empty text. Only the html column is read beside
-the id and url; each page is handled alone, so repeated rows give equal results.
+A null or empty page, and one without text, gives an empty text; an empty table gives an empty result.
+Only the html column is read beside the id and url, which may be null; each page is handled alone, so
+repeated rows give equal results. Neither the length of a page nor the depth of its elements is bounded.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,20 +52,44 @@ GONE_NAME = tuple((re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I), sh
 MODIFIER = re.compile(r"(?:(?<![^\s_-])(?:has|no|with|without)[_-]\S+|(?<!\S)[\w-]+[_-](?:open|closed|enabled|disabled|on|off)(?!\S)|(?<!\S)hidden-(?:print|xs|sm|md|lg|xl|mobile|phone|tablet|desktop)(?!\S))", re.I)
 GONE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
 
-DEEPEST = 256
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+# A quote opens a value only after an equals sign, as browsers read it; one that is never closed is a plain character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)|([^<]+|<)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])[^\s=\"']*/\s*$")
 _WANTED = frozenset({"class", "id", "role", "hidden", "aria-hidden", "style"})
 _WHITE = re.compile(r"\s+")
+_COMMA = re.compile("[,、，]")
+_ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_STOPS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+ENTER, TEXT, LEAVE = range(3)
 
 
 class Node:
-    __slots__ = ("children", "most", "name", "parent", "score")
+    """An element: its children are elements and strings. The figures are set by measure()."""
+
+    __slots__ = ("children", "commas", "linked", "most", "name", "own", "own_linked", "parent", "running", "score", "size")
 
     def __init__(self, name: str, parent: Node | None, most: float | None = None):
-        self.name, self.parent, self.children, self.score = name, parent, [], 0.0
+        self.name, self.parent, self.children = name, parent, []
         self.most = most  # by its class or id it goes if it holds no larger a share of the running text; None: it stays
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = self.linked = self.running = 0  # characters of its text, of that in links, of running text outside links
+        self.own = self.own_linked = self.commas = 0  # of the text that lies in no block inside it
+        self.score = 0.0
+
+
+def walk(root: Node) -> Iterator[tuple[int, Node | str]]:
+    """What lies under a node in page order, with the nodes as they are entered and left; the depth of the tree does not matter."""
+    todo: list[tuple[int, Node | str]] = [(ENTER, root)]
+    while todo:
+        event = todo.pop()
+        yield event
+        kind, x = event
+        if kind == ENTER:
+            todo.append((LEAVE, x))
+            todo.extend((TEXT if isinstance(c, str) else ENTER, c) for c in reversed(x.children))
 
 
 def _gone(name: str, attributes: str) -> tuple[bool, float | None]:
@@ -87,215 +114,190 @@ def _gone(name: str, attributes: str) -> tuple[bool, float | None]:
     return False, most
 
 
-def _running(node: Node, shares: dict[int, int], sure: bool) -> int:
-    """Characters of running text outside links under each node, by id(); sure: without what goes by its name whatever it holds."""
-    total = 0
-    run: list[str] = []
-
-    def flush() -> None:
-        nonlocal total
-        n = len(_WHITE.sub(" ", "".join(run)).strip())
-        total += n if n >= 25 else 0
-        run.clear()
-
-    def walk(n: Node) -> None:
-        nonlocal total
-        for c in n.children:
-            if isinstance(c, str):
-                run.append(c)
-            elif sure and c.most == 1:
-                continue
-            elif c.name in BLOCK or c.most:
-                flush()
-                total += _running(c, shares, sure)
-            elif c.name != "a":
-                walk(c)
-
-    walk(node)
-    flush()
-    shares[id(node)] = total
-    return total
+def measure(root: Node) -> None:
+    """Set the figures of all nodes. Running text: runs of 25 characters or more between blocks, outside links and what goes whatever it holds."""
+    size = linked = running = run = 0
+    links = sure = 0  # open links, open elements that go for sure
+    owners: list[Node] = []
+    before: list[tuple[int, int, int]] = []
+    for kind, x in walk(root):
+        if kind == TEXT:
+            n = len(" ".join(x.split()))
+            if n:
+                n += x[-1].isspace()
+                size += n
+                owners[-1].own += n
+                owners[-1].commas += len(_COMMA.findall(x))
+                if links:
+                    linked += n
+                    owners[-1].own_linked += n
+                elif not sure:
+                    run += n
+            continue
+        edge = x.name in BLOCK or x.most is not None or x is root
+        if edge:
+            running += run if run >= 25 else 0
+            run = 0
+        if kind == ENTER:
+            x.clear()
+            before.append((size, linked, running))
+            links += x.name == "a"
+            sure += x.most == 1
+            if x.name in BLOCK or x is root:
+                owners.append(x)
+        else:
+            a, b, c = before.pop()
+            x.size, x.linked, x.running = size - a, linked - b, running - c
+            links -= x.name == "a"
+            sure -= x.most == 1
+            if x.name in BLOCK or x is root:
+                owners.pop()
 
 
 def _prune(root: Node) -> None:
     """Take away what goes by its class or id: it holds a small share of the running text, or links for the most part."""
-    shares: dict[int, int] = {}
-    total = _running(root, shares, True)
-
-    def walk(n: Node) -> None:
-        left = []
-        for c in n.children:
-            if not isinstance(c, str):
-                if c.most is not None:
-                    text = _text(c)
-                    if c.most == 1 or shares.get(id(c), 0) <= c.most * total or 2 * len(_text(c, True)) > len(text):
-                        continue
-                walk(c)
-            left.append(c)
-        n.children = left
-
-    walk(root)
+    measure(root)
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.children = [c for c in n.children if isinstance(c, str) or c.most is None or not (c.most == 1 or c.running <= c.most * root.running or 2 * c.linked > c.size)]
+        todo.extend(c for c in n.children if not isinstance(c, str))
+
+
+class _Open:
+    """The elements that are open, by depth and by name."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        self.stack: list[tuple[str, Node | None, Node]] = []  # name, its node unless it is gone, the node that takes children
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []  # depths of blocks that are no paragraphs
+        self.gone = 0
+
+    @property
+    def node(self) -> Node:
+        return self.stack[-1][2] if self.stack else self.root
+
+    def push(self, name: str, own: Node | None) -> None:
+        depth = len(self.stack)
+        self.stack.append((name, own, self.node if own is None else own))
+        self.at[name].append(depth)
+        if name in BLOCK and name != "p":
+            self.blocks.append(depth)
+        self.gone += own is None
+
+    def last(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element of one of the names, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def close(self, depth: int) -> None:
+        """Close all elements from a depth on."""
+        while len(self.stack) > depth:
+            name, own, _ = self.stack.pop()
+            self.at[name].pop()
+            if name in BLOCK and name != "p":
+                self.blocks.pop()
+            self.gone -= own is None
+
+
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I)
 
 
 def parse(page: str, by_name: bool = True) -> Node:
-    """The tree of a page without what is not the article; texts are strings among the children."""
-    root = node = Node("#root", None)
-    open_names: list[tuple[str, Node | None]] = []  # every open element, with its node unless it is gone
-    gone = 0  # open elements that are gone
+    """The tree of a page without what is not the article; texts are strings among the children. Time is linear in the page."""
+    root = Node("#root", None)
+    opened = _Open(root)
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
         closing, name, attributes, text = m.groups()
         if text is not None:
-            if not gone:
-                node.children.append(text)
+            if not opened.gone:
+                opened.node.children.append(text)
             continue
         if name is None:
             continue
         name = name.lower()
         if closing:
-            depth = next((i for i in range(len(open_names) - 1, -1, -1) if open_names[i][0] == name), None)
-            if depth is None or (name not in BLOCK and any(n in {"td", "th", "table"} for n, _ in open_names[depth:])):
-                continue
-            for n, own in reversed(open_names[depth:]):
-                if own is None:
-                    gone -= 1
-            del open_names[depth:]
-            node = next((own for _, own in reversed(open_names) if own is not None), root)
+            depth = opened.last((name,))
+            if depth >= 0 and (name in BLOCK or opened.last(("td", "th", "table")) <= depth):
+                opened.close(depth)
             continue
-        if any(n == "head" for n, _ in open_names) and name not in IN_HEAD:  # a head that was left open ends here
-            depth = next(i for i, (n, _) in enumerate(open_names) if n == "head")
-            gone -= sum(own is None for _, own in open_names[depth:])
-            del open_names[depth:]
-            node = next((own for _, own in reversed(open_names) if own is not None), root)
-        if name in CLOSES_P or name in {"li", "dd", "dt", "tr", "td", "th", "option"}:
-            ends = {"p"} if name in CLOSES_P else set()
-            ends |= {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(name, set())
-            stop = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}.get(name, set()) | {"button", "table"} - ends
-            for i in range(len(open_names) - 1, -1, -1):
-                n, _ = open_names[i]
-                if n in ends:
-                    gone -= sum(own is None for _, own in open_names[i:])
-                    del open_names[i:]
-                    node = next((own for _, own in reversed(open_names) if own is not None), root)
-                    break
-                if n in stop or (n in BLOCK and n not in {"p"} and name not in {"td", "th", "tr"}):
-                    break
-        if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK | RAW:
-            if not gone:
-                node.children.append(" ")
+        if opened.at.get("head") and name not in IN_HEAD:  # a head that was left open ends here
+            opened.close(opened.at["head"][0])
+        if name in CLOSES_P or name in _ENDS:
+            ends = _ENDS.get(name, set()) | ({"p"} if name in CLOSES_P else set())
+            depth = opened.last(ends)
+            stop = opened.last(_STOPS.get(name, set()) | {"button", "table"} - ends)
+            if name not in {"td", "th", "tr"} and opened.blocks:
+                stop = max(stop, opened.blocks[-1])
+            if depth >= 0 and depth >= stop:
+                opened.close(depth)
+        if name in VOID or (name not in BLOCK | RAW and _SELF_CLOSED.search(attributes)):
+            if not opened.gone:
+                opened.node.children.append(" ")
                 if name == "hr":
-                    node.children.append(Node("hr", node))
+                    opened.node.children.append(Node("hr", opened.node))
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        sure, most = _gone(name, attributes) if not gone else (True, None)
-        if not by_name:
-            most = None
-        if sure or (most is not None and len(open_names) >= DEEPEST):
-            # the header of an article holds its headline; that of a page does not
-            open_names.append((name, None))
-            gone += 1
+            at = _end_of(name).search(page, at).end()
             continue
-        if name == "header" and not any(n in {"article", "main"} for n, _ in open_names):
-            open_names.append((name, None))
-            gone += 1
+        # the header of an article holds its headline; that of a page does not
+        if opened.gone or (name == "header" and opened.last(("article", "main")) < 0):
+            opened.push(name, None)
             continue
-        if len(open_names) >= DEEPEST:  # deeper elements become siblings, as in browsers
-            if name in BLOCK:
-                node.children.append(Node("hr", node))
-            open_names.append((name, node))
+        sure, most = _gone(name, attributes)
+        if sure:
+            opened.push(name, None)
             continue
-        child = Node(name, node, most)
-        node.children.append(child)
-        open_names.append((name, child))
-        node = child
+        child = Node(name, opened.node, most if by_name else None)
+        opened.node.children.append(child)
+        opened.push(name, child)
     if by_name:
         _prune(root)
     return root
 
 
-def _text(node: Node, links: bool | None = None) -> str:
-    """Text of a node; links: True for that in links only."""
-    out: list[str] = []
-
-    def walk(n: Node, inside: bool) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                if links is None or inside:
-                    out.append(c)
-            else:
-                walk(c, inside or c.name == "a")
-
-    walk(node, node.name == "a")
-    return _WHITE.sub(" ", "".join(out)).strip()
-
-
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks under a node in page order; a run of text between blocks is a block of its own."""
     out: list[str] = []
     run: list[str] = []
-
-    def flush() -> None:
-        text = _WHITE.sub(" ", html.unescape("".join(run))).strip()
-        run.clear()
-        if text:
-            out.append(text)
-
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                run.append(c)
-            elif c.name in BLOCK:
-                flush()
-                walk(c)
-                flush()
-            else:
-                walk(c)
-
-    walk(node)
-    flush()
+    for kind, x in walk(node):
+        if kind == TEXT:
+            run.append(x)
+        elif x.name in BLOCK or x is node:
+            text = _WHITE.sub(" ", html.unescape("".join(run))).strip()
+            run.clear()
+            if text:
+                out.append(text)
     return out
 
 
-def _has_block(node: Node) -> bool:
-    return any(not isinstance(c, str) and (c.name in BLOCK or _has_block(c)) for c in node.children)
-
-
-def score(root: Node) -> tuple[Node, list[Node]]:
-    """(container of the best score, all nodes that got points)."""
-    scored: list[Node] = []
-
-    def walk(n: Node) -> None:
-        for c in list(n.children):
-            if isinstance(c, str):
-                continue
-            walk(c)
-        direct = " ".join(c if isinstance(c, str) else _text(c) for c in n.children if isinstance(c, str) or c.name not in BLOCK)
-        text = _WHITE.sub(" ", direct).strip()
-        if len(text) < 25 or n.name in HEADING:
-            return
-        linked = sum(len(_text(c, True)) for c in n.children if not isinstance(c, str) and c.name not in BLOCK)
-        points = (1 + text.count(",") + min(len(text) / 100, 30)) * max(0.0, 1 - linked / len(text))
+def score(root: Node) -> Node:
+    """The container of the best score; nodes are measured and scored."""
+    measure(root)
+    best = root
+    for kind, n in walk(root):
+        if kind != LEAVE or n.own < 25 or n.name in HEADING:
+            continue
+        points = (1 + n.commas + n.own / 100) * (1 - n.own_linked / n.own)
         share, up = 1.0, n.parent if n.name in LEAF else n
         while up is not None and share > 0.05:
-            if not up.score:
-                scored.append(up)
             up.score += points * share
             share = 0.5 if share == 1 else share / 3
             up = up.parent
-
-    walk(root)
-    best = max(scored, key=lambda n: n.score, default=root)
-    return best, scored
+    for kind, n in walk(root):
+        if kind == LEAVE and n.score > best.score:
+            best = n
+    return best
 
 
 def _kept(root: Node) -> list[Node]:
     """The best container and those of its siblings that belong to it, in page order."""
-    best, _ = score(root)
+    best = score(root)
     # a text split over several containers belongs to what holds them all
     while best.parent is not None and best.name not in {"article", "main", "body", "html", "#root"} and best.parent.name not in {"html", "#root"}:
         others = sum(c.score for c in best.parent.children if not isinstance(c, str) and c is not best)
@@ -310,9 +312,8 @@ def _kept(root: Node) -> list[Node]:
         if c is best:
             out.append(c)
         elif not isinstance(c, str) and c.name != "a":
-            text = _text(c)
-            density = len(_text(c, True)) / len(text) if text else 1.0
-            running = c.name == "p" and density < 0.25 and len(text) > 80
+            density = c.linked / c.size if c.size else 1.0
+            running = c.name == "p" and density < 0.25 and c.size > 80
             if (c.score >= least or running or (c.name in HEADING and c.name != "h6" and best.name not in {"article", "main"})) and density < 0.5:
                 out.append(c)
     return out
