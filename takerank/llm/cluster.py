@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python; texts are long, so batches are kept small.
 ARROW_ROWS = 512
@@ -44,6 +45,25 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key that holds more than one row in so many is hot; there are fewer such keys than that.
+HOT = 1000
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left with the columns of right, which holds each key once; hot keys of left do not meet in one task.
+
+    The rows of right for hot keys are fewer than HOT and are broadcast; the others are joined as usual.
+    left is read three times, so it should be a table.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * HOT > F.col("_all")).select(key, F.lit(True).alias("_hot"))
+    marked = left.join(F.broadcast(hot), key, "left")
+    few = right.join(F.broadcast(hot.select(key)), key, "left_semi")
+    one = marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how)
+    return one.unionByName(marked.where("_hot IS NULL").drop("_hot").join(right, key, how))
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Ship this package to the Python workers (once a context) and bound the Arrow batches."""
     sc = spark.sparkContext
