@@ -4,33 +4,52 @@ Personal data is found by expressions and validated (check digits, ranges, calen
 valid stays as it is. A valid value is permuted within its format by a keyed Feistel network, so that
 equal values have equal pseudonyms in all documents and different values different ones:
 
-- e-mail: letters and digits of the local part; the domain stays
+- e-mail: letters and digits of the local part, whose case does not matter for the pseudonym; the domain stays
 - payment card (13 to 19 digits, Luhn): the digits between the first and the check digit, which is set anew;
   in a run of numbers every sequence of whole numbers is tried, longer ones first
-- phone (+ country code, 8 to 15 digits): the national digits; with +1, area and exchange still begin with 2 to 9;
-  it ends where another value begins, and with +1 at ten national digits if they are grouped 3-3-4
+- phone (+ country code, 8 to 15 digits): the national digits after the country code, which the digits alone
+  decide, so that grouping does not matter; with +1, area and exchange still begin with 2 to 9;
+  it ends where another value begins, and with +1 at ten national digits if they are grouped 3-3-4.
+  A number grouped 3-3-4 without a country code counts as one of +1
 - IPv4: the four octets; social security number: within the numbers that can be issued
-- IBAN (mod 97): the account part, check digits set anew; date (1800 to 2199): another valid day
+- IBAN (mod 97), written together or in groups of four: the account part, check digits set anew
+- date (1800 to 2199, also day first where the month cannot be): another valid day
 
 A Feistel round adds to one half, modulo the size of each position's alphabet, numbers drawn from
-SHA-256 of the key, kind, round, position and the other half; the halves take turns. Rows are
-treated one by one: a null text stays null, repeated rows get equal results, other columns stay.
+SHA-256 of the key, kind, round, position and the other half; the halves take turns. Who knows the key
+can undo the pseudonyms, so there is none built in: ``session_key`` takes it from the setting
+``spark.takerank.pseudonym.key``, or draws one at random for the session.
+
+Rows are treated one by one: a null text stays null, an empty one empty, repeated rows get equal
+results, an empty table an empty one, other columns stay and may be null.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-DEFAULT_KEY = "set-your-own-key"
+KEY_SETTING = "spark.takerank.pseudonym.key"
+# The country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CYCLE_DAYS = 146097  # 400 years, 1800-01-01 to 2199-12-31: 189 * 773 days
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of the setting; without one, a random key that holds for the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once, however often f uses it."""
     return F.get(F.transform(F.array(value), f), 0)
@@ -128,8 +147,11 @@ def _mod97(account: Column) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    new = let(F.regexp_replace(local, "[^A-Za-z0-9]", ""), lambda x: permute_symbols(x, _alphabets(x), key, "email"))
-    return F.concat(_refill(local, new), F.lit("@"), F.substring_index(m, "@", -1))
+    new = let(F.lower(F.regexp_replace(local, "[^A-Za-z0-9]", "")), lambda x: permute_symbols(x, _alphabets(x), key, "email"))
+    # a digit that stands for a letter, or the other way round, does not occur: each position keeps its alphabet
+    cased = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x.n)), lambda i: F.when(F.substr(x.o, i, F.lit(1)).rlike("[A-Z]"), F.upper(F.substr(x.n, i, F.lit(1)))).otherwise(F.substr(x.n, i, F.lit(1)))), "")
+    both = F.struct(new.alias("n"), F.regexp_replace(local, "[^A-Za-z0-9]", "").alias("o"))
+    return F.concat(_refill(local, let(both, cased)), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _card_ok(m: Column) -> Column:
@@ -147,7 +169,7 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, let(let(_digits(m), body), checked))
 
 
-def _cards(run: Column, key: str) -> Column:
+def _cards(run: Column, key: str, hide: Callable[[Column], Column]) -> Column:
     """Number of cards in a run of numbers, and the run with their pseudonyms."""
 
     def piece(x: Column, i: Column, k: Column) -> Column:
@@ -198,15 +220,15 @@ def _phone_ok(m: Column) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[ .\-(]|\d{7})", 1)
-
     def new(x: Column) -> Column:
-        national = F.substr(x.d, F.length(x.code) + 1, F.lit(15))
-        american = (x.code == "1") & national.rlike("^[2-9]..[2-9].{6}$")
-        alphabets = F.when(american, F.lit("nddndddddd")).otherwise(F.regexp_replace(national, ".", "d"))
-        return F.concat(x.code, permute_symbols(national, alphabets, key, "phone"))
+        code = F.when(x.plus, F.regexp_extract(x.d, COUNTRY_CODE, 1)).otherwise("")
+        return let(F.struct(code.alias("code"), F.substr(x.d, F.length(code) + 1, F.lit(15)).alias("n")), lambda y: F.concat(y.code, national(y.code, y.n)))
 
-    return _refill(m, let(F.struct(code.alias("code"), _digits(m).alias("d")), new))
+    def national(code: Column, n: Column) -> Column:
+        american = code.isin("", "1") & n.rlike("^[2-9]..[2-9].{6}$")
+        return permute_symbols(n, F.when(american, F.lit("nddndddddd")).otherwise(F.regexp_replace(n, ".", "d")), key, "phone")
+
+    return _refill(m, let(F.struct(_digits(m).alias("d"), m.startswith("+").alias("plus")), new))
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -236,12 +258,35 @@ def _iban(m: Column, key: str) -> Column:
     return let(F.struct(country.alias("c"), new.alias("n")), lambda x: F.concat(x.c, F.lpad((98 - _mod97(F.concat(x.n, x.c, F.lit("00")))).cast("string"), 2, "0"), x.n))
 
 
+def _ibans(run: Column, key: str, hide: Callable[[Column], Column]) -> Column:
+    """Number of accounts in a match (0 or 1), and the match with a pseudonym: of groups, the longest sequence from the first that is valid."""
+
+    def tried(x: Column) -> Column:
+        solid = lambda k: F.array_join(F.slice(x.groups, F.lit(1), k), "")
+        fits = F.filter(F.sequence(F.lit(1), F.size(x.groups)), lambda k: F.length(solid(k)).between(15, 34) & let(solid(k), _iban_ok))
+        return let(F.struct(x.run.alias("run"), x.groups.alias("groups"), F.array_max(fits).alias("k")), replaced)
+
+    def replaced(x: Column) -> Column:
+        k = F.coalesce(x.k, F.lit(1))
+        taken, rest = F.array_join(F.slice(x.groups, F.lit(1), k), " "), F.array_join(F.slice(x.groups, k + 1, F.size(x.groups)), " ")
+        new = let(F.replace(taken, F.lit(" "), F.lit("")), lambda solid: hide(_refill(taken, _iban(solid, key))))
+        out = F.concat(new, F.when(k < F.size(x.groups), F.concat(F.lit(" "), rest)).otherwise(""))
+        return F.when(x.k.isNull(), F.struct(F.lit(0).alias("n"), x.run.alias("to"))).otherwise(F.struct(F.lit(1).alias("n"), out.alias("to")))
+
+    return let(F.struct(run.alias("run"), F.split(run, " ").alias("groups")), tried)
+
+
+def _day_first(m: Column) -> Column:
+    """Whether a date with slashes has the day first: its first number can be no month."""
+    return m.contains("/") & (F.substr(m, F.lit(1), F.lit(2)).cast("int") > 12)
+
+
 def _day(m: Column) -> Column:
-    """The day that a date in one of the three forms names; null if there is none."""
+    """The day that a date in one of the forms names; null if there is none."""
     iso = F.regexp_extract(m, r"^(\d{4}-\d{2}-\d{2})$", 1)
     american = F.regexp_replace(m, r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$1-$2")
-    german = F.regexp_replace(m, r"^(\d{2})\.(\d{2})\.(\d{4})$", "$3-$2-$1")
-    return F.when(iso != "", iso.try_cast("date")).when(m.contains("/"), american.try_cast("date")).otherwise(german.try_cast("date"))
+    european = F.regexp_replace(m, r"^(\d{2})[./](\d{2})[./](\d{4})$", "$3-$2-$1")
+    return F.when(iso != "", iso.try_cast("date")).when(m.contains("/") & ~_day_first(m), american.try_cast("date")).otherwise(european.try_cast("date"))
 
 
 def _date_ok(m: Column) -> Column:
@@ -252,7 +297,7 @@ def _date(m: Column, key: str) -> Column:
     n = F.datediff(_day(m), F.lit("1800-01-01").cast("date"))
     p = permute_pair(F.floor(n / 773), n % 773, (189, 773), key, "date")
     new = let(p, lambda x: F.date_add(F.lit("1800-01-01").cast("date"), (x.a * 773 + x.b).cast("int")))
-    return F.when(m.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+    return F.when(m.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(_day_first(m), F.date_format(new, "dd/MM/yyyy")).when(m.contains("/"), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
 
 
 @dataclass(frozen=True)
@@ -263,7 +308,7 @@ class Kind:
     valid: Callable[[Column], Column]
     pseudonym: Callable[[Column, str], Column]
     hidden: bool = False  # whether later kinds must not find values in its pseudonyms
-    parts: Callable[[Column, str], Column] | None = None  # instead of both: number of values in a match, and what it becomes
+    parts: Callable[[Column, str, Callable], Column] | None = None  # instead of both: number of values in a match, and what it becomes
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -274,14 +319,17 @@ _BETWEEN = rf"(?:(?!{_OTHER})[ .-])?"
 _LAST = r"(?: (?!\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d))\d{2,4}(?![.:/,-]?\d)|[.-]?\d{2,4})?"
 #: More than 15 digits; written out, as a lookbehind may hold no repeated group.
 _LONG = r"\+" + r"[^\d+]{0,2}\d" * 16 + r"(?:[^\d+]{0,2}\d)?" * 3
+#: Ten digits grouped 3-3-4 as in North America, which need no country code.
+_NATIONAL = r"(?<![\w+.)-])(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[.-]\d{4}(?![\w-]|\.\d)"
 _PHONE = (
     r"(?<![\w+])\+(?:1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-    rf"|\d{{1,3}}{_BETWEEN}\(?\d{{2,4}}\)?{_BETWEEN}\d{{3,4}}{_BETWEEN}\d{{2,4}}{_LAST}(?!\d)(?<!{_LONG}))"
+    rf"|\d{{1,3}}{_BETWEEN}\(?\d{{2,4}}\)?{_BETWEEN}\d{{3,4}}{_BETWEEN}\d{{2,4}}{_LAST}(?!\d)(?<!{_LONG}))|"
+    + _NATIONAL
 )
 KINDS = (
     Kind("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", "@", lambda m: F.lit(True), _email),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", r"[A-Z]{2}\d{2}", _iban_ok, _iban),
-    Kind("phone", _PHONE, r"\+\d", _phone_ok, _phone, hidden=True),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", r"[A-Z]{2}\d{2}", _iban_ok, _iban, hidden=True, parts=_ibans),
+    Kind("phone", _PHONE, r"\+\d|[.-]\d{4}", _phone_ok, _phone, hidden=True),
     Kind("card", r"(?<![\w.+-])\d[\d -]{11,}\d(?![\w-]|\.\d)", r"\d[\d -]{11}", _card_ok, _card, parts=_cards),
     Kind("ipv4", rf"(?<![\w.-]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w-]|\.\d)", r"\d\.\d", lambda m: F.lit(True), _ipv4),
     Kind("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", r"\d-\d", _ssn_ok, _ssn),
@@ -291,7 +339,7 @@ KINDS = (
 _DIGITS, _MASKS = "0123456789", "".join(chr(0xE0D0 + i) for i in range(10))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, counts: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
     """docs with pseudonyms in text, and the number of values replaced of each kind as n_<kind> (replacing columns of that name)."""
     new = [f"n_{k.name}" for k in KINDS] if counts else []
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in new]).alias("row")
@@ -312,14 +360,14 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, counts: bool = True) -
 
 
 def _replaced(kind: Kind, key: str) -> Column:
+    hide = lambda to: F.when(F.col("open"), to).otherwise(F.translate(to, _DIGITS, _MASKS)) if kind.hidden else to
     if kind.parts:
-        return F.transform("found", lambda m: kind.parts(m, key))
+        return F.transform("found", lambda m: kind.parts(m, key, hide))
     checked = F.transform("found", lambda m: F.struct(m.alias("m"), F.coalesce(kind.valid(m), F.lit(False)).alias("ok")))
-    hide = lambda to: F.when(F.col("open"), to).otherwise(F.translate(to, _DIGITS, _MASKS)) if kind.hidden else to
     return F.transform(checked, lambda x: F.struct(x.ok.cast("int").alias("n"), F.when(x.ok, let(kind.pseudonym(x.m, key), hide)).otherwise(x.m).alias("to")))
 
 
-def without_personal_data(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def without_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """docs with pseudonyms; n_chars, if there, is set anew."""
     out = pseudonymise(docs, key, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

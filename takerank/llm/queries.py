@@ -48,7 +48,7 @@ def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

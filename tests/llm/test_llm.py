@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from takerank.llm import bpe, decontaminate, html_text, licenses, near_dedup, pii, quality, secrets, sharding, warc, wordhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+KEY = "a key of the tests"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 EXTRA = "doc_id long, text string, key string, row string, n_words string, t string"
 
@@ -199,7 +200,7 @@ def luhn(n):
 
 def test_pseudonyms(spark):
     rows = [(1, "a.b+c@mail.example.com 4041894974608795, +1 (386) 555-3733; 25.86.162.211. 123-45-6789 1985-04-12"), (2, "again 4041-8949-7460-8795 and 04/12/1985"), (3, "4041894974608796 999-45-6789 2024-02-30 300.1.1.1 v1.2"), (4, None), (5, ""), (6, "clean " * 20000)]
-    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
     a = got[1].text
     for secret in ("a.b+c@", "4041894974608795", "386", "25.86.162.211", "123-45-6789", "1985-04-12"):
         assert secret not in a
@@ -208,7 +209,7 @@ def test_pseudonyms(spark):
     year, month, day = re.search(r"(\d{4})-(\d\d)-(\d\d)$", a).groups()
     assert f"{month}/{day}/{year}" in got[2].text
     assert got[3].text == rows[2][1] and got[4].text is None and got[5].text == "" and got[6].text == rows[5][1]
-    other = pii.pseudonymise(docs(spark, rows[:1]), key="other").first().text
+    other = pii.pseudonymise(docs(spark, rows[:1]), "other").first().text
     assert other != a
 
 
@@ -216,7 +217,7 @@ def test_pseudonyms_end_where_the_value_ends(spark):
     card, phone = "4111 1111 1111 1111", "+1 (826) 555-4081"
     rows = [(1, card), (2, phone), (3, "+44 20 7946 0958"), (4, "4111111111111111"), (5, "190.137.223.204")]
     after = [f"{phone} 190.137.223.204", f"{phone} 1234", "+44 20 7946 0958 190.137.223.204", "+44 20 7946 0958 12.5", "+44 20 7946 0958 2024-02-30", f"{card} 12", "4111111111111111 215", "7 4111111111111111", f"99 {card}", f"{card}  {card}", "4111111111111111 4111111111111111", f"{phone} {card} 12"]
-    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, rows + list(enumerate(after, 10)))).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, rows + list(enumerate(after, 10))), KEY).collect()}
     alone = {t: got[i] for i, t in rows}
     for i, t in enumerate(after, 10):
         for n, value in enumerate(alone):
@@ -225,7 +226,7 @@ def test_pseudonyms_end_where_the_value_ends(spark):
             t = t.replace(f"<{n}>", new)
         assert got[i] == t
     assert all(got[i] != t for i, t in rows)
-    counted = pii.pseudonymise(docs(spark, [(1, f"{card}  {card} 12"), (2, "+123 1234 1234 1234 1234")])).orderBy("doc_id").collect()
+    counted = pii.pseudonymise(docs(spark, [(1, f"{card}  {card} 12"), (2, "+123 1234 1234 1234 1234")]), KEY).orderBy("doc_id").collect()
     assert [(r.n_card, r.n_phone) for r in counted] == [(2, 0), (0, 1)]
 
 
