@@ -8,7 +8,10 @@ them: contractions, letters, numbers and other characters with at most one space
 space. Distinct pieces are merged once and kept in a cache; decoding gathers the bytes of the ids
 and must give back the text, which also rules out a clash of piece hashes.
 
-A null text counts as empty. No text is too long: pieces above ``SHORT`` bytes are merged with a heap.
+A null text counts as empty, and an empty one has no ids; repeated rows get equal results, an empty
+table an empty one, and columns other than the id and text are not read. No text is too long: pieces
+above ``SHORT`` bytes are merged with a heap, and a text of more pieces than the cache holds is taken
+in runs of pieces. The vocabulary is broadcast, so a file above ``VOCABULARY_BYTES`` is refused.
 """
 
 from __future__ import annotations
@@ -226,8 +229,6 @@ class Vocabulary:
         self.ids = np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > CACHED:
-            raise MemoryError
         merged = [merge(p, self.ranks) for p in pieces]
         count = np.array([len(m) for m in merged], dtype=np.int64)
         first = len(self.ids) + np.cumsum(count) - count
@@ -242,6 +243,13 @@ class Vocabulary:
         prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * wordhash._power("up", wordhash._BASE, len(raw) + 1)[: len(raw)], out=prefix[1:])
         hashes = wordhash.mix((prefix[ends] - prefix[starts]) * wordhash._power("down", wordhash._INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+        parts = [self._pieces(raw, starts[a : a + CACHED], ends[a : a + CACHED], hashes[a : a + CACHED]) for a in range(0, len(starts), CACHED)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+        total = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]))])
+        return ids, total[np.searchsorted(starts, offsets)]
+
+    def _pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) of at most CACHED pieces, so that they always fit the cache."""
         distinct, example, piece = np.unique(hashes, return_index=True, return_inverse=True)
         where = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), dtype=bool) if not len(self.keys) else self.keys[np.minimum(where, len(self.keys) - 1)] != distinct
@@ -249,17 +257,10 @@ class Vocabulary:
             self.forget()
             new[:] = True
         if new.any():
-            data = raw.tobytes()
-            pieces = [data[starts[i] : ends[i]] for i in example[new]]
-            if len(pieces) <= CACHED:
-                self._learn(distinct[new], pieces)
-            else:
-                raise MemoryError(f"more than {CACHED} distinct pieces in one text")
+            self._learn(distinct[new], [raw[starts[i] : ends[i]].tobytes() for i in example[new]])
             where = np.searchsorted(self.keys, distinct)
         count = self.count[where][piece]
-        ids = self.ids[spread(self.first[where][piece], count)]
-        total = np.concatenate([[0], np.cumsum(count)])
-        return ids, total[np.searchsorted(starts, offsets)]
+        return self.ids[spread(self.first[where][piece], count)], count
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids."""
