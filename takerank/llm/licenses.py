@@ -5,34 +5,42 @@ equivalent spellings unified (licence and license, sub-licence, merchantability
 punctuation and white space gone. The SHA-256 of what is left is joined with the digests of known
 licence texts. Every run of whole lines that is as long in canonical form as a known text is looked up:
 the whole document, lines, paragraphs, and texts of many paragraphs inside other text, however wrapped.
-The cost grows with the number of different lengths of the known texts.
+A text is brought to canonical form once, and the runs of a length are found by a sorted search among
+the line ends of many texts at once; the cost grows with the number of different lengths known.
 
 The known texts are a table (license_id, text); ``NOTICES`` are the standard notices built in, and with
 them the full texts in the folder license_texts and those of ``BSD``. The
 table of digests is broadcast only below ``KNOWN_ROWS`` rows; otherwise the join shuffles the digests.
-A document without any known text, a null or an empty one gets an empty list. Rows are told apart by
-their whole content, so null ids and repeated rows do no harm.
+A document without any known text, a null or an empty one gets an empty list; an empty table gives an
+empty result. Rows are told apart by two hashes of their whole content, so null ids and repeated rows do
+no harm; other columns are carried along, those named like the new ones are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takerank.llm.pii import let
+from takerank.llm.cluster import ready
 
 KNOWN_ROWS = 50_000
 
 # Spellings that count as equal, as the licence matching guidelines of SPDX list them.
 SPELLINGS = (
     ("licence", "license"), ("licenc", "licens"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"),
-    ("centre", "center"), ("cheque", "check"), ("favour", "favor"), ("fulfil ", "fulfill "), ("initialise", "initialize"), ("judgement", "judgment"),
+    ("centre", "center"), ("cheque", "check"), ("favour", "favor"), ("initialise", "initialize"), ("judgement", "judgment"),
     ("labour", "labor"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("per cent", "percent"), ("programme", "program"),
     ("sub-license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("(c)", "copyright"), ("©", "copyright"), ("https:", "http:"),
 )
 
+FULFIL = r"fulfil\b"  # becomes fulfill
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n].*(?:(?:19|20)\d\d|copyright).*|copyright \d.*|all rights reserved[^\p{L}\p{N}\n]*)$"
 
 # The standard notices of well-known licences.
@@ -84,23 +92,51 @@ def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*NOTICES, *full_texts()], "license_id string, text string")
 
 
-def canonical(text: Column) -> Column:
-    """A text in canonical form; copyright lines, which begin with the word or sign, are dropped."""
-    low = F.lower(text)
-    for a, b in SPELLINGS:
-        low = F.replace(low, F.lit(a), F.lit(b))
-    low = F.regexp_replace(low, COPYRIGHT_LINE, "")
-    return F.regexp_replace(low, r"[^\p{L}\p{N}]+", "")
+_FULFIL, _COPYRIGHT, _REST = regex.compile(FULFIL), regex.compile(COPYRIGHT_LINE), regex.compile(r"[^\p{L}\p{N}\n]+")
 
 
-def _digest(text: Column) -> Column:
-    return F.xxhash64(text)
+def canonical_lines(text: str) -> list[str]:
+    """The lines of a text in canonical form; copyright lines, which begin with the word or sign, are empty."""
+    low = text.lower()
+    for a, b in SPELLINGS:
+        low = low.replace(a, b)
+    low = _FULFIL.sub("fulfill", low)
+    if "copyright" in low or "all rights reserved" in low:
+        low = _COPYRIGHT.sub("", low)
+    return _REST.sub("", low).split("\n")
+
+
+def runs(texts: list[str | None], lengths: list[int]) -> Iterator[tuple[int, bool, bytes]]:
+    """(place of a text, whether it is the whole text, SHA-256) of the runs of whole lines of one of the lengths."""
+    gap = max(lengths, default=0) + 1
+    forms, ends, base, first = [], [], 0, []
+    for t in texts:
+        lines = [x for x in canonical_lines(t or "") if x]
+        forms.append("".join(lines))
+        first.append(base)
+        ends.append(base + np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)]))
+        base = int(ends[-1][-1]) + gap  # no run goes on into the next text
+    if not texts:
+        return
+    every, begins = np.concatenate(ends), np.array(first)
+    for n in lengths:
+        at = np.minimum(np.searchsorted(every, every + n), len(every) - 1)
+        for start in every[every[at] == every + n].tolist():
+            i = int(np.searchsorted(begins, start, side="right")) - 1
+            start -= first[i]
+            yield i, n == len(forms[i]), hashlib.sha256(forms[i][start : start + n].encode("utf-8", "surrogatepass")).digest()
 
 
 def digests(texts: DataFrame) -> DataFrame:
-    """license_id, short key, SHA-256 and length of the canonical form of each known text; empty forms are left out."""
-    form = texts.select("license_id", canonical(F.col("text")).alias("form")).where("form != ''")
-    return form.select("license_id", _digest(F.col("form")).alias("key"), F.sha2("form", 256).alias("sha256"), F.length("form").alias("n")).distinct()
+    """license_id, SHA-256 and length of the canonical form of each known text; empty forms are left out."""
+    ready(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = ["".join(canonical_lines(t or "")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(f.encode("utf-8", "surrogatepass")).digest() for f in forms], pa.binary()), pa.array([len(f) for f in forms], pa.int64())], names=["license_id", "sha256", "n"])
+
+    return texts.selectExpr("cast(license_id AS string) AS license_id", "cast(text AS string) AS text").mapInArrow(run, "license_id string, sha256 binary, n long").where("n > 0").distinct()
 
 
 def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -109,24 +145,20 @@ def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     table = digests(known(docs.sparkSession) if texts is None else texts)
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row")
     keys = [f"row.`{c}`" for c, kind in docs.dtypes if c not in names and "map<" not in kind and "variant" not in kind]
-    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("rid", F.xxhash64("t", *keys))
-    # whole lines in canonical form: a run of them is as long as the distance of two ends
+    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = rows.withColumn("rid", F.struct(F.xxhash64("t", *keys).alias("a"), F.xxhash64(F.lit("b"), "t", *keys).alias("b")))
     lengths = [r.n for r in table.select("n").distinct().orderBy("n").collect()]  # far fewer than texts
-    known_lengths = F.array(*map(F.lit, lengths)).cast("array<int>")
-
-    def ended(forms: Column) -> Column:
-        ends = F.aggregate(forms, F.array(F.lit(0)), lambda a, f: F.concat(a, F.array(F.element_at(a, -1) + F.length(f))))
-        return let(F.struct(ends.alias("ends"), F.array_join(forms, "").alias("form")), units)
 
-    def units(x: Column) -> Column:
-        fits = F.filter(known_lengths, lambda n: n <= F.element_at(x.ends, -1))
-        runs = F.flatten(F.transform(fits, lambda n: F.transform(F.array_intersect(F.transform(x.ends, lambda e: e + n), x.ends), lambda e: F.struct(e.alias("to"), n.alias("n")))))
-        return F.transform(runs, lambda r: let(F.substr(x.form, r.to - r.n + 1, r.n), lambda u: F.struct((r.n == F.element_at(x.ends, -1)).alias("whole"), _digest(u).alias("key"), F.sha2(u, 256).alias("sha256"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(runs(batch.column(1).to_pylist(), lengths))
+            if found:
+                place, whole, digest = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(whole), pa.array(digest, pa.binary())], names=["rid", "whole", "sha256"])
 
-    forms = F.filter(F.transform(F.split("t", "\n"), canonical), lambda f: f != "")
-    unit = rows.select("rid", F.inline(let(forms, ended)))
+    unit = rows.select("rid", "t").mapInArrow(run, "rid struct<a: bigint, b: bigint>, whole boolean, sha256 binary")
     small = table.limit(KNOWN_ROWS + 1).count() <= KNOWN_ROWS
-    hits = unit.join(F.broadcast(table) if small else table, ["key", "sha256"])
+    hits = unit.join(F.broadcast(table) if small else table, "sha256")
     found = hits.groupBy("rid").agg(F.sort_array(F.collect_set("license_id")).alias("licenses"), F.min(F.when(F.col("whole"), F.col("license_id"))).alias("whole_text"))
     out = rows.select("rid", "row").join(found, "rid", "left")
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), "whole_text")

@@ -110,6 +110,7 @@ def _canonical(column: str) -> str:
     out = f"lower({column})"
     for a, b in licenses.SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
+    out = f"regexp_replace({out}, $p${licenses.FULFIL}$p$, 'fulfill', 'g')"
     return f"regexp_replace(regexp_replace({out}, $p${licenses.COPYRIGHT_LINE}$p$, '', 'g'), $p$[^\\p{{L}}\\p{{N}}]+$p$, '', 'g')"
 
 
