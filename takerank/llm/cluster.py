@@ -38,6 +38,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run of an operator, deleted but for those that its result still reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.names = spark, scratch(spark, name), []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut lineage, as stored() does."""
+        self.names.append(f"{len(self.names):03d}-{name}")
+        path = f"{self.root}/{self.names[-1]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *keep: str) -> None:
+        """Delete the tables but the last of each name to keep."""
+        last = {n[4:]: n for n in self.names if n[4:] in keep}
+        for n in [n for n in self.names if last.get(n[4:]) != n]:
+            drop(self.spark, f"{self.root}/{n}")
+            self.names.remove(n)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, on whatever file system it lies."""
     jvm = spark.sparkContext._jvm
@@ -49,19 +70,29 @@ def drop(spark: SparkSession, path: str) -> None:
 HOT = 1000
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left with the columns of right, which holds each key once; hot keys of left do not meet in one task.
+def join_spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """left with the columns of right, which holds each key at most once; the rows of a hot key are dealt out over many tasks.
 
-    The rows of right for hot keys are fewer than HOT and are broadcast; the others are joined as usual.
-    left is read three times, so it should be a table.
+    A hot key's rows of left get a number from their content, so that about one row in HOT shares it, and
+    its row of right is repeated for each number: at most 2 * HOT more rows in all. Broadcast are the hot
+    keys alone, fewer than HOT. left is read twice, so it should be a table; or else counted is one with the
+    same keys. by: columns of left whose content gives the numbers, all by default.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    counts = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))  # one row
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * HOT > F.col("_all")).select(key, F.lit(True).alias("_hot"))
-    marked = left.join(F.broadcast(hot), key, "left")
-    few = right.join(F.broadcast(hot.select(key)), key, "left_semi")
-    one = marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how)
-    return one.unionByName(marked.where("_hot IS NULL").drop("_hot").join(right, key, how))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * HOT > F.col("_all")).select(key, F.ceil(F.col("_n") * HOT / F.col("_all")).alias("_copies"))
+    copies = F.coalesce("_copies", F.lit(1).cast("long"))
+    one = left.join(F.broadcast(hot), key, "left").withColumn("_copy", F.pmod(F.xxhash64(*(by or left.columns)), copies)).drop("_copies")
+    two = right.join(F.broadcast(hot), key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_copies")
+    return one.join(two, [key, "_copy"], how).drop("_copy")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ready(spark: SparkSession) -> SparkSession:

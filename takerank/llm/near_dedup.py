@@ -8,15 +8,20 @@ buckets find every link that matters for the components:
 2. where a bucket still holds members of several components, its members of the smaller components
    are compared with all members of other components, in blocks of bounded size.
 
-A pair is first judged by Odd sketches. In pass 1 it is the parity bitmap of the MinHash samples; a
-pair goes on if its XOR population count is within six standard deviations of the threshold's. In
-pass 2 it is the parity bitmap of the whole set, a sample that leaves nothing out: there the count is
-at most the number of shingles in which the sets differ, so the threshold itself drops no link. What
-remains is confirmed on the full sets. Pairs inside a component need no comparison, so a group of n
-copies costs n comparisons and not n * n.
+A pair is first judged by Odd sketches. In pass 1 it is the parity bitmap of the MinHash samples,
+whose XOR population count estimates the similarity; a pair goes on if the count is at most
+``SPARE`` standard deviations above that of the threshold, which holds for 99.8 % of the pairs at the
+threshold itself and more above it; what is left out here is left to pass 2. In pass 2 it is the parity bitmap of the whole set,
+a sample that leaves nothing out: there the count is at most the number of shingles in which the sets
+differ, so the threshold itself drops no link. What remains is confirmed on the full sets. Pairs inside
+a component need no comparison, so a group of n copies costs n comparisons and not n * n.
+
+A class is known by a 64-bit digest of its set. A second digest tells sets apart that share the first;
+such classes get new keys, so members of a class agree in 128 bits.
 
 Rows without text or words, and rows without an id, have no partners; the latter get a null
-component. Rows that share an id share its component where their texts do.
+component and stay. Rows that share an id share its component where their texts do. Empty tables give
+empty results; columns other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from takerank.llm import wordhash
-from takerank.llm.cluster import ready, stored
+from takerank.llm.cluster import Scratch, free_name, join_spread, ready
 
 ROWS = 4  # MinHash values in a band
 BANDS = 28  # a pair of similarity 0.75 shares no band with probability (1 - 0.75**4) ** 28 = 0.00002
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
 BLOCK = 256  # members of a block in pass 2
+BLOCK_BYTES = 8 << 20  # and their bitmaps together, but for single larger ones
+SPARE = 3
 SEED = 20240229
 
 
@@ -54,27 +61,30 @@ def _row_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.nd
         yield row, np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def set_keys(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each row's set; 0 for an empty one."""
+def set_keys(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each row's set; 0 for an empty one."""
     filled = np.flatnonzero(np.diff(offsets) > 0)
-    keys = np.zeros(len(offsets) - 1, dtype=np.uint64)
+    out = np.zeros((2, len(offsets) - 1), dtype=np.uint64)
     if len(filled):
         start = offsets[:-1][filled]
-        total = np.add.reduceat(wordhash.mix(sets + np.uint64(0x1D8E4E27C47D124F)), start)
-        other = np.bitwise_xor.reduceat(wordhash.mix(sets ^ np.uint64(0xEB44ACCAB455D165)), start)
-        keys[filled] = wordhash.mix(wordhash.mix(total) + other + np.diff(offsets)[filled].astype(np.uint64))
-    return keys
+        for i, (one, two) in enumerate(((0x1D8E4E27C47D124F, 0xEB44ACCAB455D165), (0x8BB84B93962EACC9, 0x4B33A62ED433D4A3))):
+            total = np.add.reduceat(wordhash.mix(sets + np.uint64(one)), start)
+            other = np.bitwise_xor.reduceat(wordhash.mix(sets ^ np.uint64(two)), start)
+            out[i, filled] = wordhash.mix(wordhash.mix(total) + other + np.diff(offsets)[filled].astype(np.uint64))
+    return out[0], out[1]
 
 
-def sketch_batch(column: pa.Array, k: int) -> list[pa.Array]:
-    """n_shingles, key, bands and Odd sketch (as 64-bit integers) of each row."""
+def sketch_batch(column: pa.Array, k: int, key_bits: int = 64) -> list[pa.Array]:
+    """n_shingles, key, check, bands and Odd sketch (as 64-bit integers) of each row."""
     a, b = _permutations()
-    counts, keys, bands, odd = [], [], [], []
+    counts, keys, checks, bands, odd = [], [], [], [], []
     for _, sets, offsets in _row_sets(column, k):
         n = len(offsets) - 1
         filled = np.flatnonzero(np.diff(offsets) > 0)
         counts.append(np.diff(offsets))
-        keys.append(set_keys(sets, offsets))
+        key, check = set_keys(sets, offsets)
+        keys.append(key >> np.uint64(64 - key_bits))
+        checks.append(check)
         least = np.zeros((SAMPLES, n), dtype=np.uint64)
         if len(filled):
             start = offsets[:-1][filled]
@@ -92,21 +102,21 @@ def sketch_batch(column: pa.Array, k: int) -> list[pa.Array]:
         odd.append(np.packbits(bits, axis=1).view(np.int64))
     if not counts:
         empty = pa.array([], pa.int64())
-        return [empty, empty, pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int64()))]
+        return [empty, empty, empty, pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int64()))]
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         rows = np.ascontiguousarray(np.concatenate(parts)).view(np.int64)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
-    return [pa.array(np.concatenate(counts)), pa.array(np.concatenate(keys).view(np.int64)), lists(bands), lists(odd)]
+    return [pa.array(np.concatenate(counts)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(checks).view(np.int64)), lists(bands), lists(odd)]
 
 
-def _sketches(docs: DataFrame, k: int) -> DataFrame:
+def _sketches(docs: DataFrame, k: int, key_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sketch_batch(batch.column(1), k)], names=["doc_id", "n_shingles", "key", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sketch_batch(batch.column(1), k, key_bits)], names=["doc_id", "n_shingles", "key", "check", "bands", "odd"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, n_shingles long, key long, bands array<long>, odd array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, n_shingles long, key long, check long, bands array<long>, odd array<long>")
 
 
 def parity_width(n: int) -> int:
@@ -130,11 +140,13 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def most_ones(differing: float, width: int) -> float:
-    """XOR population count that so many differing samples stay below, with six standard deviations to spare."""
+def most_ones(samples: int, percent: int, width: int) -> float:
+    """XOR population count that a pair at the threshold stays below, with SPARE standard deviations to spare."""
+    apart = 1 - percent / 100
+    differing, spread = 2 * samples * apart, 2 * math.sqrt(samples * apart * (1 - apart))  # each sample that differs sets two bits
     mean = width / 2 * (1 - math.exp(-2 * differing / width))
-    var = width / 4 * (1 - math.exp(-4 * differing / width)) - differing * math.exp(-4 * differing / width)
-    return mean + 6 * math.sqrt(max(var, 1))
+    folded = width / 4 * (1 - math.exp(-4 * differing / width)) - differing * math.exp(-4 * differing / width)
+    return mean + SPARE * math.sqrt(max(folded, 1) + (math.exp(-2 * differing / width) * spread) ** 2)
 
 
 def block_pairs(left: list, right: list, same: bool, percent: int, band: int) -> list[tuple[int, int]]:
@@ -171,18 +183,18 @@ def block_pairs(left: list, right: list, same: bool, percent: int, band: int) ->
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """key, n, shingles and parity bitmap of the classes in wanted (doc_id, key), from the texts of their documents."""
+    """key, n, shingles and parity bitmap of the classes in wanted (doc_id, key, check), from the texts of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for row, sets, offsets in _row_sets(batch.column(2), k):
-                keys = set_keys(sets, offsets)
-                hit = [i for i in range(len(keys)) if keys[i] == want[row + i]]
+            want = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            for row, sets, offsets in _row_sets(batch.column(3), k):
+                checks = set_keys(sets, offsets)[1]
+                hit = [i for i in range(len(checks)) if checks[i] == want[row + i]]
                 own = [sets[offsets[i] : offsets[i + 1]] for i in hit]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[hit].view(np.int64)),
+                        batch.column(1).take(pa.array([row + i for i in hit], pa.int64())),
                         pa.array([len(s) for s in own], pa.int64()),
                         pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
                         pa.array([parity(s) for s in own], pa.binary()),
@@ -190,26 +202,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     names=["key", "n", "shingles", "parity"],
                 )
 
-    rows = docs.join(wanted, "doc_id").select("doc_id", "key", "text")
+    rows = docs.join(wanted, "doc_id").select("doc_id", "key", "check", "text")
     return rows.mapInArrow(run, "key long, n long, shingles array<long>, parity binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) of a table whose full sets reach the threshold; each set occurs once in sets."""
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(one, "a").join(two, "b").withColumn("both", both)
+    held = join_spread(pairs, two, "b")
+    joined = join_spread(held, one, "a", counted=pairs, by=["a", "b"]).withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Scratch) -> DataFrame:
     """Connected components of links (a, b): key and the smallest key it reaches, for all keys but those smallest.
 
     Alternates large-star and small-star steps until the links are stars around the smallest keys.
-    Each step is an aggregation and a join, and its result is a table in the shared folder.
+    Each step is an aggregation and a join, in which the links of one key do not meet in a task, and its
+    result is a table in the shared folder.
     """
-    star = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    star = work.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
     state = None
     while True:
         now = star.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
@@ -218,66 +231,87 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_spread(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        star = stored(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        small = join_spread(large, least, "u")
+        star = work.stored(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+
+
+def _classes(rows: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows and their classes, told apart by both digests."""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+        return work.stored(usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
+
+    classes = grouped(rows)
+    clash = classes.where("check != other").select("key", F.lit(True).alias("clash"))
+    if clash.limit(1).count():
+        new = F.when(F.col("clash"), F.xxhash64("key", "check")).otherwise(F.col("key"))
+        rows = work.stored(rows.join(clash, "key", "left").withColumn("key", new).drop("clash"), "sketches")
+        classes = grouped(rows)
+    return rows, classes
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, key_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of docs (doc_id, text, ...).
 
     percent: documents are linked if 100 * intersection >= percent * union of their sets.
-    Empty tables give empty results; other columns of docs are not read.
+    key_bits: of the first digest of a set; fewer only to test what happens to sets that share it.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
+    work = Scratch(spark, "near")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = stored(_sketches(texts, k), "sketches")
-    usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
+    rows, classes = _classes(work.stored(_sketches(texts, k, key_bits), "sketches"), work)
     buckets = classes.select(F.explode("bands").alias("band"), "key")
     shared = buckets.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("band", "pivot")
-    members = stored(buckets.join(shared, "band"), "members")
+    members = work.stored(buckets.join(shared, "band"), "members")
 
     # pass 1: stars, judged by the Odd sketches of the MinHash samples
     brief = classes.select("key", "n", "odd")
-    pairs = members.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = pairs.join(brief.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
-    pairs = pairs.join(brief.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    pairs = work.stored(members.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    both = pairs.join(brief.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    both = join_spread(both, brief.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a", counted=pairs, by=["a", "b"])
     ones = reduce(lambda x, y: x + y, (F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(SKETCH_BITS // 64)))
-    differing = 2 * SAMPLES * (1 - percent / 100) + 5 * 2 * math.sqrt(SAMPLES * percent / 100 * (1 - percent / 100))  # of the samples, five standard deviations above the threshold's
-    most = most_ones(differing, SKETCH_BITS)
-    pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most)).select("a", "b")
-    sets = stored(_sets(texts, classes.select("doc_id", "key").join(members.select("key").distinct(), "key", "left_semi"), k), "sets")
-    links = stored(_confirm(pairs, sets, percent), "links")
-    labels = components(links)
+    most = most_ones(SAMPLES, percent, SKETCH_BITS)
+    pairs = work.stored(both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most)).select("a", "b"), "pairs")
+    sets = work.stored(_sets(texts, classes.select("doc_id", "key", "check").join(members.select("key").distinct(), "key", "left_semi"), k), "sets")
+    links = work.stored(_confirm(pairs, sets, percent), "links")
+    labels = components(links, work)
 
     # pass 2: what is left between components, judged by the parity bitmaps of the whole sets
-    more = _confirm(_crossing(members, labels, sets.join(classes.select("key", "bands"), "key"), percent), sets, percent)
-    labels = components(links.unionByName(more))
+    crossing = work.stored(_crossing(members, labels, sets.join(classes.select("key", "bands"), "key"), percent, work), "crossing")
+    more = _confirm(crossing, sets, percent)
+    labels = components(links.unionByName(more), work)
 
-    named = classes.select("key", F.col("doc_id").alias("least")).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = work.stored(classes.select("key", F.col("doc_id").alias("least")).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "labels")
     roots = named.groupBy("label").agg(F.min("least").alias("root"))
-    named = named.join(roots, "label").select("key", "root")
-    rows = rows.select("doc_id", "n_shingles", "key")
-    out = rows.join(named, "key", "left")
+    named = work.stored(join_spread(named, roots, "label").select("key", "root"), "roots")
+    work.clear("sketches", "roots")
+    out = join_spread(rows.select("doc_id", "n_shingles", "key"), named, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """Pairs of members of a bucket that lie in different components and may be linked."""
-    held = members.select("band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    size = held.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = size.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    held = held.join(mixed, "band").withColumn("minor", F.col("label") != F.col("major"))
-    blocks = F.ceil(F.when(F.col("minor"), F.col("all") - F.col("most")).otherwise(F.col("most")) / BLOCK)
+    held = members.select("band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).join(sets.select("key", "n").dropDuplicates(["key"]), "key")
+    size = held.groupBy("band", "label").agg(F.count("*").alias("count"), F.sum(2 * F.col("n")).alias("bytes"))  # a bitmap has one to two bytes a shingle
+    major = F.max_by(F.struct("label", "count", "bytes"), F.struct("count", "label"))
+    mixed = size.groupBy("band").agg(major.alias("major"), F.sum("count").alias("count"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    held = held.drop("n").join(mixed, "band").withColumn("minor", F.col("label") != F.col("major.label"))
+    side = lambda c: F.when(F.col("minor"), F.col(c) - F.col(f"major.{c}")).otherwise(F.col(f"major.{c}"))
+    blocks = F.ceil(F.greatest(side("count") / BLOCK, side("bytes") / BLOCK_BYTES))
     held = held.withColumn("block", F.pmod(F.xxhash64("key"), blocks)).select("band", "minor", "block", "key", "label")
     held = held.join(sets.select("key", "n", "parity", "bands").dropDuplicates(["key"]), "key")
-    block = stored(held.groupBy("band", "minor", "block").agg(F.collect_list(F.struct("key", "label", "n", "parity", "bands")).alias("rows")), "blocks")
-    left = block.where("minor").select("band", F.col("block").alias("i"), F.col("rows").alias("one"))
-    right = block.select("band", F.col("block").alias("j"), "minor", F.col("rows").alias("two"))
-    tasks = left.join(right, "band").where("NOT minor OR i <= j").select("one", "two", "band", (F.col("minor") & (F.col("i") == F.col("j"))).alias("same"))
+    block = work.stored(held.groupBy("band", "minor", "block").agg(F.collect_list(F.struct("key", "label", "n", "parity", "bands")).alias("rows")), "blocks")
+    # pairs of blocks are dealt out as numbers first, and each block then joins its pairs
+    left = block.where("minor").select("band", F.col("block").alias("i"))
+    right = block.select("band", F.col("block").alias("j"), "minor")
+    pairs = left.join(right, "band").where("NOT minor OR i <= j")
+    pairs = pairs.join(block.where("minor").select("band", F.col("block").alias("i"), F.col("rows").alias("one")), ["band", "i"])
+    pairs = pairs.join(block.select("band", "minor", F.col("block").alias("j"), F.col("rows").alias("two")), ["band", "minor", "j"])
+    tasks = pairs.select("one", "two", "band", (F.col("minor") & (F.col("i") == F.col("j"))).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,8 +327,11 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """docs without near duplicates: of each component the document with the smallest id stays.
 
-    Rows equal in id and text count as one document. Rows without an id stay.
+    Rows equal in id and text count as one document. Rows without an id stay, all of them.
     """
-    verdict = near_duplicates(docs, k, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = verdict.where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    verdict = near_duplicates(docs, k, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    flag = free_name(docs, "near_kept")
+    odd = verdict.where("NOT _kept OR _rows > 1").select("doc_id", F.col("_kept").alias(flag))  # what is neither is left as it is
+    marked = docs.join(odd, "doc_id", "left")
+    once = marked.where(F.col(flag).isNull()).select(*docs.columns)
+    return once.unionByName(marked.where(flag).select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takerank.llm.cluster import join_split, scratch, stored
+from takerank.llm.cluster import join_spread, scratch, stored
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"  # the tables have no time of capture
@@ -90,7 +90,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     digests = spark.read.parquet(f"{path}/payloads").select("sha256", "sha1", "n_bytes")
     keys = stored(rows.select("page_id", "url", "sha256"), "warc-keys")
     known = keys.groupBy("sha256").agg(F.min("page_id").alias("smallest")).join(digests, "sha256")
-    records = join_split(keys, known, "sha256")
+    records = join_spread(keys, known, "sha256")
     first = (F.col("n_bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("smallest"))
     records = records.withColumn("record_type", F.when(first, "response").otherwise("revisit")).withColumn("refers_to", F.when(~first, F.col("smallest")))
     records.select("page_id", "url", "record_type", "refers_to", "sha256", _header().alias("header")).write.parquet(f"{path}/records")

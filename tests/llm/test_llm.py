@@ -73,6 +73,20 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True), ("1", "1", True), ("None", "None", True)]
 
 
+def test_sets_that_share_a_digest(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(12))) for i in range(30)]
+    rows += [(100 + i, t) for i, t in rows[:5]]
+    got = near_dedup.near_duplicates(docs(spark, rows), key_bits=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows)
+
+
+def test_rows_without_an_id_stay(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z"), (3, "x y z"), (3, "another text"), (4, None)]
+    kept = near_dedup.deduplicate(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in [*rows[:3], rows[4], *rows[6:]])
+
+
 def test_parity_count_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
