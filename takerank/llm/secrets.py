@@ -8,7 +8,9 @@ characters, or without any, has no mandatory trigrams and scans every text.
 The index has a posting (trigram, row) for every trigram that a rule asks for; postings are
 intersected by counting, for each row and alternative, the trigrams that are there. The rows that are
 left are verified with the expressions themselves, over whole texts. Rows are known to the index by a
-hash of the whole row, so repeated rows and null ids do no harm. A null text counts as empty.
+hash of the whole row, so repeated rows and null ids do no harm. A null text counts as empty and has no
+finds, and so has an empty one; an empty table gives an empty result; other columns are carried along,
+but for one named like the new column, which is replaced. Texts are taken whole, however long.
 
 Spans are code points, end exclusive, and for each kind leftmost and not overlapping.
 """
