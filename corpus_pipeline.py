@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takerank.llm import bpe, decontaminate, near_dedup, pii, quality
-from takerank.llm.cluster import stored
+from takerank.llm.cluster import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,13 +49,19 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Byte-level BPE cannot be written in SQL; tests/llm holds the stages against brute force.
+#: Byte-level BPE cannot be written in SQL; tests/llm/test_pipeline.py holds all stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each result written as Parquet and read again by the next.
+
+    A stage's table is deleted when the next one is written; that of the last stage but one stays, as the
+    result reads it. Null ids go through as they are; null texts fall to the quality rules; empty tables
+    give an empty result. Columns beside those of documents are carried along up to the last stage.
+    """
+    docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = work.stored(stage(spark, docs, sf_dir), name)
+        work.clear(name)
     return STAGES[-1][1](spark, docs, sf_dir)
