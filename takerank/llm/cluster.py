@@ -66,21 +66,29 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: A key that holds more than one row in so many is hot; there are fewer such keys than that.
+#: A key that holds more than one row in so many, and more rows than FEW, is hot; there are fewer such keys than HOT.
 HOT = 1000
+FEW = 256
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """left with the columns of right, which holds each key at most once; the rows of a hot key are dealt out over many tasks.
 
     A hot key's rows of left get a number from their content, so that about one row in HOT shares it, and
-    its row of right is repeated for each number: at most 2 * HOT more rows in all. Broadcast are the hot
-    keys alone, fewer than HOT. left is read twice, so it should be a table; or else counted is one with the
-    same keys. by: columns of left whose content gives the numbers, all by default.
+    its row of right is repeated for each number: at most 2 * HOT more rows in all. The hot keys alone,
+    fewer than HOT, are counted beforehand and broadcast. left should be a table, as it is read once more
+    for that; or else counted is one with the same keys. by: columns of left whose content gives the
+    numbers, all by default.
     """
-    counts = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))  # one row
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * HOT > F.col("_all")).select(key, F.ceil(F.col("_n") * HOT / F.col("_all")).alias("_copies"))
+    spark = left.sparkSession
+    counts = (left if counted is None else counted).select(key)
+    total = counts.count()
+    counts = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counts.where((F.col("_n") > FEW) & (F.col("_n") * HOT > total)).select(key, F.ceil(F.col("_n") * HOT / total).alias("_copies"))
+    found = hot.limit(HOT).collect()
+    if not found:
+        return left.join(right, key, how)
+    hot = spark.createDataFrame(found, hot.schema)
     copies = F.coalesce("_copies", F.lit(1).cast("long"))
     one = left.join(F.broadcast(hot), key, "left").withColumn("_copy", F.pmod(F.xxhash64(*(by or left.columns)), copies)).drop("_copies")
     two = right.join(F.broadcast(hot), key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_copies")

@@ -231,7 +231,7 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
         state = now
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_spread(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = work.stored(join_spread(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_spread(large, least, "u")
         star = work.stored(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")

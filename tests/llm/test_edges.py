@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 
-from takerank.llm import bpe, decontaminate, html_text, licenses, near_dedup, pii, quality, secrets, warc, wordhash
+from takerank.llm import bpe, cluster, decontaminate, html_text, licenses, near_dedup, pii, quality, secrets, warc, wordhash
 
 KEY = "a key of the tests"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -175,3 +175,20 @@ def test_near_duplicates_with_clashing_names(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")]
     kept = near_dedup.deduplicate(docs(spark, rows))
     assert kept.columns == docs(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == [1, 3] and near_dedup.deduplicate(docs(spark, [])).count() == 0
+
+
+def test_spread_join_equals_a_join(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i % 50 if i % 7 else None, i) for i in range(6000)], "k long, v long")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(1, 40)], "k long, r string")
+    for how in ("inner", "left"):
+        got = cluster.join_spread(left, right, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect())) and "_copy" in got._jdf.queryExecution().toString()
+
+
+def test_hot_groups_of_near_duplicates(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(900)}" for _ in range(60)]
+    near = lambda: " ".join(w if rng.random() > 0.02 else f"e{rng.randrange(10**6)}" for w in words)
+    rows = [(i, " ".join(words)) for i in range(300)] + [(1000 + i, near()) for i in range(350)]
+    got = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.components(rows)
