@@ -20,6 +20,11 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(s / 60).cast("int"), s % 60)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many digits, rounded half to even on its binary value."""
+    return F.call_function("format_number", x, F.lit("0" + "." * (digits > 0) + "0" * digits))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -58,8 +63,8 @@ def tempo_ratio(a: Column, b: Column) -> Column:
 
 
 def tempo_distance(a: Column, b: Column) -> Column:
-    """Distance of two tempos on a log scale, an octave apart costing 0.15; 1 if a tempo is unknown."""
-    candidates = F.transform(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)), lambda m: F.abs(F.log2(a / (b * m))) + F.when(m == 1.0, 0.0).otherwise(0.15))
+    """Distance of two tempos by the natural logarithm of their ratio, an octave apart costing 0.15; 1 if a tempo is unknown."""
+    candidates = F.transform(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)), lambda m: F.abs(F.log(a / (b * m))) + F.when(m == 1.0, 0.0).otherwise(0.15))
     return F.when((a > 0) & (b > 0), F.array_min(candidates)).otherwise(1.0)
 
 
@@ -69,9 +74,46 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """A vector scaled to length 1."""
-    return F.transform(a, lambda x: x / F.greatest(F.sqrt(dot(a, a)), F.lit(1e-9)))
+    length = F.transform(F.array(a), lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(1e-9)))  # computed once
+    return F.flatten(F.transform(F.arrays_zip(F.array(a).alias("v"), length.alias("n")), lambda z: F.transform(z.v, lambda x: x / z.n)))
 
 
 def window_count(n: Column, hop: int, least: int) -> Column:
     """Hop-strided windows of a signal of n samples, the last with at least so many."""
     return F.when(n >= least, F.floor((n - least) / hop) + 1).otherwise(0).cast("long")
+
+
+def quota(n: Column | int, share: float) -> Column:
+    """A share of n, rounded half to even."""
+    return F.bround(F.lit(n) * share if isinstance(n, int) else n * share).cast("int")
+
+
+def compilation_key(filter_: Column, profile: Column, dynamic: Column) -> Column:
+    """The name by which votes know a compilation: filter, profile and mode."""
+    return F.concat_ws("_", filter_, profile, F.when(dynamic, "dinamico").otherwise("fijo"))
+
+
+def utc(text: Column) -> Column:
+    """An ISO 8601 instant, with Z or an offset, as a timestamp; UTC without one; null if it is none."""
+    zoned = F.when(text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(zoned).try_cast("timestamp")
+
+
+def from_epoch(seconds: Column) -> Column:
+    """Seconds since 1970, UTC, as a timestamp."""
+    return F.timestamp_micros(F.round(seconds * 1_000_000).cast("long"))
+
+
+def months_back(ts: Column, months: int) -> Column:
+    """An instant so many months of 30 days before."""
+    return ts - F.make_dt_interval(F.lit(30 * months))
+
+
+def local_day(ts: Column, tz: str) -> Column:
+    """The calendar day of an instant in a time zone."""
+    return F.to_date(F.from_utc_timestamp(ts, tz))  # the session's time zone must be UTC
+
+
+def month_folder(ts: Column) -> Column:
+    """The month of an instant, as yyyy-MM."""
+    return F.date_format(ts, "yyyy-MM")

@@ -38,7 +38,7 @@ def register_profile(name: str, column: str) -> None:
 
 @dataclass(frozen=True)
 class Settings:
-    """Options of a scoring run; mode is "mixto" or "veto"."""
+    """Options of a scoring run; mode is "mixto" or "veto"; weights: of the dimensions in the composites, WEIGHTS without."""
 
     profile: str = "balance"
     mode: str = "mixto"
@@ -47,10 +47,15 @@ class Settings:
     least_sound: float = 0.15
     best_quantile: float = 0.95
     shrink: float = 4.0
+    weights: dict[str, float] | None = None
 
     def __post_init__(self) -> None:
         if self.profile not in PROFILES:
             raise ValueError(f"unknown profile: {self.profile}")
+        if self.mode not in {"mixto", "veto"}:
+            raise ValueError(f"unknown mode: {self.mode}")
+        if self.weights and set(self.weights) - set(WEIGHTS) - set(WINDOW_DIMENSIONS) - set(FILE_DIMENSIONS):
+            raise ValueError(f"unknown dimension among the weights: {sorted(self.weights)}")
 
     @property
     def idea(self) -> bool:

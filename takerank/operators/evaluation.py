@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 
 import numpy as np
@@ -12,14 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from takerank.functions.columns import base_name
+from takerank.operators.order import running
 from takerank.operators.scoring import percentile_ranks
 
 
 def auc(scored: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """Chance that a positive scores above a negative, ties counting a half, from rank sums; one row."""
     c = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"), F.sum(F.col(positive).cast("long")).alias("p"))
-    before = F.coalesce(F.sum(F.col("c") - F.col("p")).over(W.Window.orderBy("s").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    won = c.withColumn("won", F.col("p") * (before + (F.col("c") - F.col("p")) / 2))
+    won = running(c, [F.col("s")], {"before": F.col("c") - F.col("p")}).withColumn("won", F.col("p") * (F.col("before") + (F.col("c") - F.col("p")) / 2))
     g = won.agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum(F.col("c") - F.col("p")).alias("n"))
     return g.select(F.col("p").alias("n_positive"), F.col("n").alias("n_negative"), F.try_divide("won", F.col("p") * F.col("n")).alias("auc"))
 
@@ -37,6 +39,11 @@ def positive_percentiles(ranked: DataFrame, key: str) -> DataFrame:
     return ranked.crossJoin(F.broadcast(n)).where("positive").select(key, "rank", (100 * (1 - F.col("rank") / F.col("n"))).alias("pct"))
 
 
+def median_percentile(ranked: DataFrame, key: str) -> DataFrame:
+    """One row: the median of the percentile positions of the positives."""
+    return positive_percentiles(ranked, key).agg(F.count("*").alias("n"), F.median("pct").alias("median"))
+
+
 def _beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x in (0.0, 1.0):
@@ -65,7 +72,10 @@ def p_value(rho: float, n: int) -> float:
 
 
 def spearman(df: DataFrame, key: str, target: str, features: list[str], p: bool = True) -> DataFrame:
-    """feature, n, rho and p against the target, for features with two values or more and five rows or more."""
+    """feature, n, rho, p and stars (.01, .05) against the target, strongest first, for features with two values or more and five rows or more.
+
+    One row a file or segment is ranked, for each feature apart.
+    """
     rows = df.where(F.col(target).isNotNull())
     long = rows.select(key, target, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("v")).select(key, target, "v.*").where("x IS NOT NULL")
     mean_rank = lambda c: F.rank().over(W.Window.partitionBy("feature").orderBy(c)) + (F.count("*").over(W.Window.partitionBy("feature", c)) - 1) / 2
@@ -78,13 +88,14 @@ def spearman(df: DataFrame, key: str, target: str, features: list[str], p: bool
         for b in batches:
             yield b.assign(p=[p_value(r, n) for r, n in zip(b.rho, b.n, strict=True)])
 
-    return out.mapInPandas(add, "feature string, n long, rho double, p double")
+    out = out.mapInPandas(add, "feature string, n long, rho double, p double")
+    return out.withColumn("stars", F.when(F.col("p") < 0.01, "***").when(F.col("p") < 0.05, "*").otherwise("")).orderBy(F.abs("rho").desc(), "feature")
 
 
 def win_matrix(answers: DataFrame) -> DataFrame:
-    """winner, loser, weight of answers (a, b, choice): A, B, both (a half each way); none gives nothing."""
+    """winner, loser, weight of answers (a, b, choice): A, B, or a tie, both or none, which gives half a win each way; no answer gives nothing."""
     row = lambda w, l, x: F.struct(F.col(w).alias("winner"), F.col(l).alias("loser"), F.lit(x).alias("w"))  # noqa: E731, E741
-    rows = F.when(F.col("choice") == "A", F.array(row("a", "b", 1.0))).when(F.col("choice") == "B", F.array(row("b", "a", 1.0))).when(F.col("choice") == "ambos", F.array(row("a", "b", 0.5), row("b", "a", 0.5)))
+    rows = F.when(F.col("choice") == "A", F.array(row("a", "b", 1.0))).when(F.col("choice") == "B", F.array(row("b", "a", 1.0))).when(F.col("choice").isin("ambos", "ninguno"), F.array(row("a", "b", 0.5), row("b", "a", 0.5)))
     return answers.select(F.explode(rows).alias("r")).select("r.*").groupBy("winner", "loser").agg(F.sum("w").alias("weight"))
 
 
@@ -127,9 +138,19 @@ def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return key(pairs).join(key(seen).select("_x", "_y").distinct(), ["_x", "_y"], "left_anti").drop("_x", "_y")
 
 
-def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows drawn by a hash of the seed and key: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+def sampled(df: DataFrame, key: str, n: int, seed: int = 0, include: DataFrame | None = None) -> DataFrame:
+    """n rows drawn by a hash of the seed and key, the same on every run, and the rows whose key is to be included beside them."""
+    if include is None:
+        return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    keep = include.select(key).distinct()
+    pool = df.join(keep, key, "left_anti")
+    return df.join(keep, key, "left_semi").unionByName(sampled(pool, key, n, seed))
+
+
+def named_like(df: DataFrame, name: str, parts: list[str]) -> DataFrame:
+    """Rows whose file name holds one of the parts, whatever the case; all rows without parts."""
+    low = F.lower(base_name(F.col(name)))
+    return df.where(reduce(lambda a, b: a | b, (low.contains(p.lower()) for p in parts))) if parts else df
 
 
-__all__ = ["auc", "bradley_terry", "close_pairs", "p_value", "percentile_ranks", "positive_percentiles", "precision_at", "sampled", "spearman", "unseen", "win_matrix"]
+__all__ = ["auc", "bradley_terry", "close_pairs", "median_percentile", "named_like", "p_value", "percentile_ranks", "positive_percentiles", "precision_at", "sampled", "spearman", "unseen", "win_matrix"]

@@ -9,10 +9,32 @@ from pyspark.sql import window as W
 from takerank.functions.columns import is_stem, overlap
 
 
+VOTES = ("like", "star", "dislike")
+
+
+def _undone(events: DataFrame) -> Column:
+    """Whether an undo takes back a note."""
+    return F.coalesce(F.col("deshace") == "nota", F.lit(False)) if "deshace" in events.columns else F.lit(False)
+
+
 def vote_state(events: DataFrame, keys: list[str], tie: str = "event_id", kinds: tuple[str, ...] = ("like", "star")) -> DataFrame:
-    """The vote in force for each key: the last event but notes, if it is a vote and not an undo."""
-    last = events.where("evento != 'nota'").groupBy(*keys).agg(F.max_by(F.struct("evento", "ts"), F.struct("ts", tie)).alias("last"))
-    return last.select(*keys, F.col("last.evento").alias("evento"), F.col("last.ts").alias("ts")).where(F.col("evento").isin(*kinds))
+    """The vote in force for each key, with all its columns: an undo, but one of a note, takes it back, other events leave it as it is."""
+    undo = (F.col("evento") == "undo") & ~_undone(events)
+    rest = [c for c in events.columns if c not in keys]
+    last = events.where(F.col("evento").isin(*kinds) | undo).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", tie)).alias("last"))
+    return last.where(F.col("last.evento") != "undo").select(*keys, "last.*")
+
+
+def note_state(events: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame:
+    """The note in force for each key, with all its columns: only an undo of a note takes it back."""
+    rest = [c for c in events.columns if c not in keys]
+    last = events.where((F.col("evento") == "nota") | ((F.col("evento") == "undo") & _undone(events))).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", tie)).alias("last"))
+    return last.where(F.col("last.evento") == "nota").select(*keys, "last.*")
+
+
+def vote_counts(live: DataFrame, take: str = "toma", voter: str = "usuario") -> DataFrame:
+    """Votes in force and voters of each take."""
+    return live.groupBy(take).agg(F.count("*").alias("votes"), F.count_distinct(voter).alias("voters"))
 
 
 def vote_coverage(votes: DataFrame, present: DataFrame, key: str, voter: str) -> DataFrame:
@@ -24,38 +46,69 @@ def vote_coverage(votes: DataFrame, present: DataFrame, key: str, voter: str) ->
     return g.select(F.explode(rows).alias("r")).select("r.*").withColumn("share", F.try_divide("present", "keys"))
 
 
+def not_rescued(live: DataFrame, present: DataFrame, take: str = "toma") -> DataFrame:
+    """Takes with votes in force that no compilation holds, with their voters."""
+    return vote_counts(live, take).join(present.select(take).distinct(), take, "left_anti")
+
+
 def rehome(votes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each vote (vote_id, toma, compilado, tramo, ini, fin) with the candidate (toma, compilado, tramo, ini, fin) that covers it best.
+    """vote_id with the candidate (toma, compilado, tramo, ini, fin) to which a vote (vote_id, toma, compilado, tramo, ini, fin) belongs.
 
-    The same compilation is preferred, then the longest overlap, then the nearest number.
+    A candidate of the vote's compilation wins over others, whatever it shares with the stretch voted for;
+    then the longest overlap, the nearest number, the smaller number and the first compilation decide. All null: no compilation holds
+    the take. Votes for the same stretch have the same home, so only the distinct stretches meet the candidates.
     """
+    place = ["toma", "compilado", "tramo", "ini", "fin"]
     c = candidates.select("toma", F.col("compilado").alias("c_comp"), F.col("tramo").alias("c_tramo"), F.col("ini").alias("c_ini"), F.col("fin").alias("c_fin"))
-    shared = overlap(F.col("ini"), F.col("fin"), F.col("c_ini"), F.col("c_fin"))
-    j = votes.join(c, "toma", "left").withColumn("shared", shared)
-    order = F.struct((F.col("compilado") == F.col("c_comp")).cast("int"), "shared", -F.abs(F.col("tramo") - F.col("c_tramo")), -F.col("c_tramo"))
-    best = F.max_by(F.struct("c_comp", "c_tramo", "shared"), F.when(F.col("shared") > 0, order))
-    return j.groupBy("vote_id").agg(best.alias("b")).select("vote_id", F.col("b.c_comp").alias("new_compilado"), F.col("b.c_tramo").alias("new_tramo"), F.col("b.shared").alias("shared"))
+    j = votes.select(*place).distinct().join(c, "toma").withColumn("shared", overlap(F.col("ini"), F.col("fin"), F.col("c_ini"), F.col("c_fin")))
+    other = F.coalesce(F.col("compilado") != F.col("c_comp"), F.lit(True))
+    order = F.struct(other.alias("o"), (-F.col("shared")).alias("s"), F.abs(F.col("tramo") - F.col("c_tramo")).alias("n"), "c_tramo", "c_comp")
+    best = j.groupBy(*place).agg(F.min_by(F.struct("c_comp", "c_tramo", "shared"), order).alias("b"))
+    best = best.select(*[F.col(x).alias(f"b_{x}") for x in place], "b")
+    out = votes.join(best, [F.col(x).eqNullSafe(F.col(f"b_{x}")) for x in place], "left")
+    return out.select("vote_id", F.col("b.c_comp").alias("new_compilado"), F.col("b.c_tramo").alias("new_tramo"), F.col("b.shared").alias("shared"))
+
 
+def corrections(votes: DataFrame, homes: DataFrame, now: Column) -> DataFrame:
+    """Events that move votes and notes in force (vote_id, usuario, compilado, tramo, toma, evento, ts, ...) to their homes.
 
-def corrections(votes: DataFrame, homes: DataFrame) -> DataFrame:
-    """Events that move votes to their new homes: an undo, and the vote again where there is a home."""
+    A vote whose take is in no compilation is undone; one whose home has changed is undone and given again
+    there, with all it held; one that is at home gives nothing. Undos of notes say so and name the note's time.
+    """
     j = votes.join(homes, "vote_id")
-    undo = F.struct(F.lit("undo").alias("evento"), F.col("compilado").alias("compilado"), F.col("tramo").alias("tramo"))
-    again = F.struct(F.col("evento").alias("evento"), F.col("new_compilado").alias("compilado"), F.col("new_tramo").alias("tramo"))
     same = (F.col("new_compilado") == F.col("compilado")) & (F.col("new_tramo") == F.col("tramo"))
-    events = F.when(F.col("new_compilado").isNull(), F.array(undo)).when(same, F.array().cast("array<struct<evento:string,compilado:string,tramo:bigint>>")).otherwise(F.array(undo, again))
-    return j.select("vote_id", F.explode(events).alias("e")).select("vote_id", "e.*")
+    lost, note = F.col("new_compilado").isNull(), F.col("evento") == "nota"
+    none = {"deshace", "nota_ts", "migracion"}
+    rest = [c for c in votes.columns if c not in {"vote_id", "evento", "compilado", "tramo", "ts"} | none]
+    kind = dict(votes.dtypes)
+    who = [c for c in rest if c in {"usuario", "banda", "toma"}]
+    moved = F.concat(F.lit("to "), "new_compilado", F.lit(" "), F.col("new_tramo").cast("string"))
+    undo = F.struct(
+        *[(F.col(c) if c in who else F.lit(None).cast(kind[c])).alias(c) for c in rest], F.col("compilado").alias("compilado"), F.col("tramo").cast("long").alias("tramo"), now.alias("ts"),
+        F.lit("undo").alias("evento"), F.when(note, "nota").alias("deshace"), F.when(note, F.col("ts")).alias("nota_ts"), F.when(lost, "in no compilation").otherwise(moved).alias("migracion"),
+    )
+    again = F.struct(
+        *[F.col(c) for c in rest], F.col("new_compilado").alias("compilado"), F.col("new_tramo").cast("long").alias("tramo"), now.alias("ts"),
+        F.col("evento"), F.lit(None).cast("string").alias("deshace"), F.lit(None).cast(kind["ts"]).alias("nota_ts"), F.concat(F.lit("from "), "compilado", F.lit(" "), F.col("tramo").cast("string")).alias("migracion"),
+    )
+    # at most two events a vote; what is at home is filtered first
+    moves = j.where(lost | ~same)
+    return moves.select("vote_id", F.explode(F.when(lost, F.array(undo)).otherwise(F.array(undo, again))).alias("e")).select("vote_id", "e.*")
+
+
+#: The words of an answer.
+ANSWERS = {"a": "A", "b": "B", "ambos": "ambos", "ambas": "ambos", "los dos": "ambos", "las dos": "ambos", "ninguno": "ninguno", "ninguna": "ninguno"}
 
 
 def parse_answers(df: DataFrame, text: str) -> DataFrame:
-    """df with number and choice of each answer in free text such as "LOTE 2: 1 A, 2 b; 3:ambos", and bad tokens apart."""
-    body = F.regexp_replace(F.col(text), r"(?i)^\s*lote\s+\d+[^:]*:", "")
-    token = F.explode(F.filter(F.split(body, r"[,;\n]+"), lambda t: F.trim(t) != ""))
-    out = df.withColumn("token", token).withColumn("token", F.trim("token"))
-    pattern = r"(?i)^(\d+)\s*[:.)-]?\s*(a|b|ambos|ninguno)$"
-    choice = F.lower(F.regexp_extract("token", pattern, 2))
-    number = F.regexp_extract("token", pattern, 1)
-    return out.withColumns({"num": F.when(number != "", number).cast("long"), "choice": F.when(choice.isin("a", "b"), F.upper(choice)).when(choice != "", choice), "bad": number == ""})
+    """df with number and choice of each answer in free text such as "LOTE 2 (x): 1 A, 2-b; 3=las dos"; what is no answer is marked bad."""
+    body = F.regexp_replace(F.col(text), r"(?i)^\s*lote\s*\d+\s*(?:\([^)]*\))?\s*:\s*", "")
+    token = F.explode(F.filter(F.transform(F.split(body, r"[,;\n]+"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != ""))
+    out = df.withColumn("token", token)
+    pattern = r"(?i)^(\d+)\s*[:=-]?\s*(" + "|".join(ANSWERS) + r")$"
+    word, number = F.lower(F.regexp_extract("token", pattern, 2)), F.regexp_extract("token", pattern, 1)
+    choice = F.element_at(F.create_map(*[F.lit(x) for kv in ANSWERS.items() for x in kv]), F.nullif(word, F.lit("")))
+    return out.withColumns({"num": F.when(number != "", number).cast("long"), "choice": choice, "bad": number == ""})
 
 
 def sessions(df: DataFrame, keys: list[str], ts: str, hours: float = 12.0) -> DataFrame:

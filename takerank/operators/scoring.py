@@ -12,21 +12,28 @@ from pyspark.sql import window as W
 from takerank import model
 from takerank.functions.columns import base_name, clock, folder, number
 from takerank.model import Settings
+from takerank.operators.order import ranked
+from takerank.operators.shared import saved
 
 #: Parts into which the values of a feature are cut for ranking, so that no task holds a whole feature.
 PARTS = 64
 
 
-def percentile_ranks(df: DataFrame, keys: list[str], features: Iterable[str]) -> DataFrame:
-    """keys, feature and rank in (0, 1]: average rank over the non-null values of the corpus.
+#: A value that more than one in so many rows of a feature hold is hot; a feature has fewer such values than that.
+HOT = 1000
+
+
+def _long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), number(F.col(f)).alias("x")) for f in features])).alias("v")).select(*keys, "v.feature", "v.x")
 
-    Null ranks 0.5, and so does a feature with at most one value. Ranks come from the histogram of
-    each feature: equal values are counted before they are sorted, the sorted values are cut at
-    approximate quantiles, and each part adds the counts of the parts before it.
+
+def value_counts(long: DataFrame) -> DataFrame:
+    """feature, x, c, start and n: each value with its count, the number of smaller ones and of all, without nulls.
+
+    Equal values are counted before they are sorted, the sorted values are cut at approximate quantiles,
+    and each part adds the counts of the parts before it. The counts are stored, as all that follows reads them.
     """
-    features = list(dict.fromkeys(features))
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), number(F.col(f)).alias("x")) for f in features])).alias("v")).select(*keys, "v.feature", "v.x")
-    counts = long.where("x IS NOT NULL").groupBy("feature", "x").agg(F.count("*").alias("c"))
+    counts = saved(long.where("x IS NOT NULL").groupBy("feature", "x").agg(F.count("*").alias("c")))
     cuts = counts.groupBy("feature").agg(F.percentile_approx("x", [i / PARTS for i in range(1, PARTS)], 1000).alias("cuts"))
     # a row for each feature, whose number is that of the columns
     parts = counts.join(F.broadcast(cuts), "feature").withColumn("part", F.size(F.filter("cuts", lambda q: q < F.col("x"))))
@@ -35,8 +42,48 @@ def percentile_ranks(df: DataFrame, keys: list[str], features: Iterable[str]) ->
     sums = sums.select("feature", "part", F.coalesce(F.sum("own").over(in_feature.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("own").over(in_feature).alias("n"))
     run = F.sum("c").over(W.Window.partitionBy("feature", "part").orderBy("x"))
     ranks = parts.withColumn("run", run).join(F.broadcast(sums), ["feature", "part"])  # at most PARTS rows a feature
-    ranks = ranks.select("feature", "x", F.when(F.col("n") > 1, (F.col("before") + F.col("run") - F.col("c") + (F.col("c") + 1) / 2) / F.col("n")).otherwise(0.5).alias("rank"))
-    return long.join(ranks, ["feature", "x"], "left").select(*keys, "feature", F.coalesce("rank", F.lit(0.5)).alias("rank"))
+    return ranks.select("feature", "x", "c", (F.col("before") + F.col("run") - F.col("c")).alias("start"), "n")
+
+
+def _quantile(q: float) -> tuple[Column, Column]:
+    """The values at the places below and above a quantile, over rows of value_counts()."""
+    place = q * (F.col("n") - 1)
+    held = lambda p: F.max(F.when((F.col("start") <= p) & (p < F.col("start") + F.col("c")), F.col("x")))
+    low, high = held(F.floor(place)), held(F.ceil(place))
+    return low, high
+
+
+def quantiles(counts: DataFrame, qs: dict[str, float]) -> DataFrame:
+    """feature, n and exact quantiles, interpolated between values, of value_counts()."""
+    cols = [c.alias(f"_{side}{name}") for name, q in qs.items() for side, c in zip("lh", _quantile(q), strict=True)]
+    out = counts.groupBy("feature").agg(F.max("n").alias("n"), *cols)
+    mix = lambda name, q: F.col(f"_l{name}") + (q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1))) * (F.col(f"_h{name}") - F.col(f"_l{name}"))
+    return out.select("feature", "n", *[mix(name, q).alias(name) for name, q in qs.items()])
+
+
+def quantile_row(df: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
+    """One row of exact quantiles of a column over all rows."""
+    found = quantiles(value_counts(_long(df, [], [column])), qs)
+    return found.agg(*[F.max(name).alias(name) for name in qs])
+
+
+def percentile_ranks(df: DataFrame, keys: list[str], features: Iterable[str]) -> DataFrame:
+    """keys, feature and rank in (0, 1]: average rank over the non-null values of the corpus.
+
+    Null ranks 0.5, and so does a feature with at most one value. The ranks of hot values are broadcast,
+    so that rows with such a value do not meet in a task; the others are joined.
+    """
+    features = list(dict.fromkeys(features))
+    long = _long(df, keys, features)
+    ranks = value_counts(long).withColumn("rank", F.when(F.col("n") > 1, (F.col("start") + (F.col("c") + 1) / 2) / F.col("n")).otherwise(0.5))
+    hot = F.col("c") * HOT > F.col("n")
+    few = ranks.where(hot).select("feature", "x", F.col("rank").alias("hot_rank"))  # fewer than HOT rows a feature
+    marked = long.join(F.broadcast(few), ["feature", "x"], "left")
+    # rows that need no other rank are dealt out over as many tasks, where they meet nothing
+    done = F.col("hot_rank").isNotNull() | F.col("x").isNull()
+    marked = marked.withColumns({"_x": F.when(~done, F.col("x")), "_deal": F.when(done, F.pmod(F.xxhash64(*keys), F.lit(HOT))).otherwise(0)})
+    rest = ranks.where(~hot).select("feature", F.col("x").alias("_x"), F.lit(0).cast("long").alias("_deal"), "rank")
+    return marked.join(rest, ["feature", "_x", "_deal"], "left").select(*keys, "feature", F.coalesce("hot_rank", "rank", F.lit(0.5)).alias("rank"))
 
 
 def dimensions(df: DataFrame, keys: list[str], specs: dict[str, dict[str, tuple[int, float]]]) -> DataFrame:
@@ -80,10 +127,11 @@ def score_windows(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     dims = dimensions(df, ["path", "widx"], model.WINDOW_DIMENSIONS)
     out = df.join(dims, ["path", "widx"])
     if s.mode == "veto":
-        least = out.agg(F.percentile("sonido", F.lit(s.least_sound)).alias("least"))  # one row
+        out = saved(out)
+        least = quantile_row(out, "sonido", {"least": s.least_sound})
         out = out.crossJoin(F.broadcast(least)).where("sonido >= least").drop("least")
     there = out.columns
-    out = out.withColumns({"ejec_ventana": combo(model.EXECUTION, there), "ejec_limpia": combo(model.EXECUTION_CLEAN, there)})
+    out = out.withColumns({"ejec_ventana": combo(model.EXECUTION, there, s.weights), "ejec_limpia": combo(model.EXECUTION_CLEAN, there, s.weights)})
     base = F.col("ejec_limpia" if s.idea else "ejec_ventana")
     return out.withColumn("score", base if s.mode == "veto" else s.weight_sound * F.col("sonido") + s.weight_execution * base)
 
@@ -128,7 +176,7 @@ def aggregate_files(windows: DataFrame, files: DataFrame, settings: Settings | N
     d = d.join(files.select("path", "duration"), "path", "left").withColumn("dur_min", F.round(F.coalesce("duration", F.lit(0.0)) / 60, 2)).drop("duration")
     d = d.join(dimensions(d, ["path"], model.FILE_DIMENSIONS), "path")
     there = d.columns
-    d = d.withColumns({"ejecucion": combo(model.EXECUTION, there), "interes": combo(model.INTEREST, there), "balance": combo(model.BALANCE, there)})
+    d = d.withColumns({"ejecucion": combo(model.EXECUTION, there, s.weights), "interes": combo(model.INTEREST, there, s.weights), "balance": combo(model.BALANCE, there, s.weights)})
     d = d.withColumn("gems", F.col("interes") * (1 - F.col("ejecucion")))
     base = F.col(model.PROFILES[s.profile])
     if s.mode != "veto" and not s.idea:
@@ -141,16 +189,18 @@ def aggregate_files(windows: DataFrame, files: DataFrame, settings: Settings | N
 
 
 def diagnose(df: DataFrame, features: Iterable[str] | None = None) -> DataFrame:
-    """For each feature: quantiles, spread against the median, nulls and distinct values."""
+    """For each feature: exact quantiles, spread against the median, nulls and distinct values; features without a value are left out."""
     if features is None:
         specs = [*model.WINDOW_DIMENSIONS.values(), *model.FILE_DIMENSIONS.values()]
         features = dict.fromkeys([f for spec in specs for f in spec] + list(model.DIAGNOSTIC))
     features = [f for f in features if f in df.columns]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), number(F.col(f)).alias("x")) for f in features])).alias("v")).select("v.*")
-    q = {name: F.percentile("x", F.lit(p)) for name, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9), ("p25", 0.25), ("p75", 0.75))}
-    out = long.groupBy("feature").agg(F.min("x").alias("min"), *[c.alias(n) for n, c in q.items()], F.max("x").alias("max"), F.count_if(F.col("x").isNull()).alias("n_null"), F.count_distinct("x").alias("n_distinct"))
+    counts = value_counts(_long(df, [], features))
+    out = quantiles(counts, {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
+    ends = counts.groupBy("feature").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("n_distinct"))
+    rows = df.agg(F.count("*").alias("rows"))
+    out = out.join(F.broadcast(ends), "feature").crossJoin(F.broadcast(rows))  # a row a feature
     ratio = (F.col("p75") - F.col("p25")) / F.greatest(F.abs("p50"), F.lit(1e-9))
-    return out.where("max IS NOT NULL").withColumn("spread", ratio).withColumn("suspicious", ratio < 0.05).drop("p25", "p75")
+    return out.select("feature", "min", "p10", "p50", "p90", "max", (F.col("rows") - F.col("n")).alias("n_null"), "n_distinct", ratio.alias("spread"), (ratio < 0.05).alias("suspicious"))
 
 
 def rank_files(files: DataFrame, by: str = "score_med", least_windows: int = 0, top: int | None = None) -> DataFrame:
@@ -159,10 +209,26 @@ def rank_files(files: DataFrame, by: str = "score_med", least_windows: int = 0,
     order = [F.col(by).desc_nulls_last(), F.col("path")]
     if top is not None:
         out = out.orderBy(*order).limit(top)  # the rank below is taken over these rows only
-        return out.withColumn("rank", F.row_number().over(W.Window.orderBy(*order)))
     return ranked(out, order)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with its place in a total order. One row a file is ranked, never a row a window."""
-    return df.withColumn(name, F.row_number().over(W.Window.orderBy(*order)))
+def folder_scaled(df: DataFrame, folder: str, column: str, name: str = "scaled") -> DataFrame:
+    """df with a column scaled to 0 to 1 between the least and greatest of its folder; 0.5 where they are equal."""
+    ends = df.groupBy(folder).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+    return df.join(ends, folder).withColumn(name, scaled).drop("_lo", "_hi")
+
+
+def onset_spread(onsets: DataFrame, file: str, beat: str, position: str, default: float = 0.05) -> DataFrame:
+    """For each file the median, over beats with two onsets or more, of the standard deviation of their positions."""
+    g = onsets.groupBy(file, beat).agg(F.stddev_pop(position).alias("_s"), F.count("*").alias("_n"))
+    return g.groupBy(file).agg(F.coalesce(F.median(F.when(F.col("_n") >= 2, F.col("_s"))), F.lit(default)).alias("spread"))
+
+
+def moving_average(df: DataFrame, keys: list[str], order: str, column: str, width: int, name: str = "context") -> DataFrame:
+    """df with the mean over so many rows around each, missing ones counting as 0."""
+    frame = W.Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width // 2), width - 1 - width // 2)
+    return df.withColumn(name, F.sum(column).over(frame) / width)
+
+
+__all__ = ["aggregate_files", "audible", "combo", "diagnose", "dimensions", "folder_scaled", "moving_average", "onset_spread", "percentile_ranks", "quantile_row", "quantiles", "rank_files", "ranked", "score_windows", "value_counts"]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from takerank import model
 from takerank.functions.columns import overlap
+from takerank.operators.order import ranked, running
 
 HOP = 30.0
 
@@ -73,14 +77,82 @@ def capped(df: DataFrame, topic: str, order: list[Column], cap: int) -> DataFram
 
 def budget(segments: DataFrame, order: list[Column], limit: float, length: Column) -> DataFrame:
     """Segments in order while what came before is shorter than the limit; the one that crosses it stays."""
-    before = F.coalesce(F.sum(length).over(W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0.0))
-    return segments.withColumn("before_s", before).where(F.col("before_s") < limit)
+    return running(segments, order, {"before_s": length.cast("double")}).where(F.col("before_s") < limit)
 
 
 def positions(segments: DataFrame, order: list[Column], crossfade: float, length: Column) -> DataFrame:
     """Nominal position of each segment of a playlist."""
-    before = F.coalesce(F.sum(length - crossfade).over(W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0.0))
-    return segments.withColumn("pos_s", before)
+    return running(segments, order, {"pos_s": (length - crossfade).cast("double")})
+
+
+def criterion(column: str) -> str:
+    """The window column by which stretches are chosen: what a file alone has gives way to the score."""
+    return column if column in (*model.WINDOW_DIMENSIONS, "ejec_ventana", "ejec_limpia") else "score"
+
+
+def long_enough(pieces: DataFrame, crossfade: float) -> DataFrame:
+    """Pieces (ini, fin) of at least two crossfades."""
+    return pieces.where(F.col("fin") - F.col("ini") >= 2 * crossfade)
+
+
+def level_gains(pieces: DataFrame, level: str = "dbfs", cap: float = -16.0) -> DataFrame:
+    """pieces with gain_db: what lifts a piece to the loudest one, at most to the cap; silence and what is within 0.5 dB stay."""
+    loud = pieces.where(F.col(level) > float("-inf")).agg(F.least(F.max(level), F.lit(cap)).alias("_target"))  # one row
+    low = F.col(level) < F.coalesce("_target", F.lit(cap)) - 0.5
+    gain = F.when(low & (F.col(level) > float("-inf")), F.coalesce("_target", F.lit(cap)) - F.col(level)).otherwise(0.0)
+    return pieces.crossJoin(F.broadcast(loud)).withColumn("gain_db", gain).drop("_target")
+
+
+def snap_to_beat(points: DataFrame, beats: DataFrame, at: str = "t", margin: float = 1.5) -> DataFrame:
+    """points (path, t) with snapped: the nearest beat (path, beat) of the file within the margin, the earlier of two as near; else t.
+
+    Beats and points meet in buckets of the margin's length, so that a file's beats are not all compared with all its points.
+    """
+    places = points.select("path", F.col(at).alias("_t")).distinct()
+    bucket = F.floor(F.col("_t") / margin)
+    near = places.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    found = near.join(beats.select("path", "beat", F.floor(F.col("beat") / margin).alias("_bucket")), ["path", "_bucket"]).where(F.abs(F.col("beat") - F.col("_t")) <= margin)
+    best = found.groupBy("path", "_t").agg(F.min_by("beat", F.struct(F.abs(F.col("beat") - F.col("_t")), "beat")).alias("_beat"))
+    return points.join(best, (points.path == best.path) & (points[at] == best._t), "left").select(*[points[c] for c in points.columns], F.coalesce("_beat", points[at]).alias("snapped"))
+
+
+def in_selection_order(df: DataFrame, chosen: DataFrame, key: str = "path", place: str = "pick") -> DataFrame:
+    """The rows of df that were chosen (key, place), with their place, sorted by it."""
+    return df.join(chosen.select(key, place), key).orderBy(place)
+
+
+def fresh_streaks(windows: DataFrame, threshold: Column | float, used: DataFrame, k: int, spare: int = 4, **options) -> DataFrame:
+    """The k best streaks of each file that no used stretch covers: some to spare are taken first, so that what is left can take their place."""
+    best = [F.round("mean", 9).desc(), F.col("ini")]
+    found = top_per(streaks(windows, threshold, **options), ["path"], best, k + spare)
+    return top_per(avoid_used(found, used), ["path"], best, k)
+
+
+def tempo_chain(pieces: DataFrame, order: list[Column]) -> DataFrame:
+    """path, ini, fin, tempo and position of the pieces of one playlist, chained by tempo.
+
+    The slowest piece begins; then always comes the nearest in tempo (an octave costs 0.15, a piece of the
+    same file is 0.05 nearer), of equal ones the earliest start, then the slower, then the first in order.
+    Each step needs the one before, so the chain is made in one task: of a playlist that a budget bounds.
+    """
+    rows = ranked(pieces, order, "place").select("path", *[F.col(c).cast("double").alias(c) for c in ("ini", "fin", "tempo")], "place")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.assign(slow=pdf.tempo.fillna(1e9)).sort_values(["slow", "place"]).reset_index(drop=True)
+        tempo, ini, path = p.tempo.to_numpy(float), p.ini.to_numpy(float), p.path.to_numpy()
+        left, taken = np.arange(1, len(p)), [0]
+        while len(left):
+            now = taken[-1]
+            with np.errstate(all="ignore"):
+                cost = np.min([np.abs(np.log(tempo[now] / (tempo[left] * m))) + (0.0 if m == 1 else 0.15) for m in (0.5, 1.0, 2.0)], axis=0)
+            cost = np.where((tempo[now] > 0) & (tempo[left] > 0), cost, 1.0) - 0.05 * (path[left] == path[now])
+            i = np.lexsort((left, ini[left], np.round(cost, 9)))[0]
+            taken.append(int(left[i]))
+            left = np.delete(left, i)
+        out = p.iloc[taken][["path", "ini", "fin", "tempo"]].reset_index(drop=True)
+        return out.assign(position=np.arange(1, len(out) + 1, dtype=np.int64))
+
+    return rows.groupBy().applyInPandas(chain, "path string, ini double, fin double, tempo double, position long")
 
 
 def avoid_used(segments: DataFrame, used: DataFrame) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -13,8 +12,9 @@ from pyspark.sql import window as W
 from takerank import model
 from takerank.functions import columns as fx
 from takerank.model import Settings
-from takerank.operators import duplicates, evaluation, ledger, scoring, segments
+from takerank.operators import compilation, dates, duplicates, evaluation, feedback, ledger, scoring, segments
 from takerank.sources import adapters
+from takerank.sources import files as stores
 from takerank.sources.adapters import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,8 @@ def window_scan_semi(spark, sf_dir):
 @query
 def hop_windows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("n_chars >= 250")
-    return d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 250, F.lit(400).cast("long"))).alias("start"))
+    i = F.sequence(F.lit(0).cast("long"), fx.window_count(F.col("n_chars"), 400, 250) - 1)
+    return d.select("doc_id", F.explode(F.transform(i, lambda x: x * 400)).alias("start"))
 
 
 @query
@@ -96,7 +97,7 @@ def take_ranking(spark, sf_dir):
 
 @query
 def feature_diagnose(spark, sf_dir):
-    return rounded(scoring.diagnose(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice", "l_tax"]))
+    return rounded(scoring.diagnose(rounded(adapters.windows(spark, sf_dir), 9)))
 
 
 def _letters(spark, sf_dir) -> DataFrame:
@@ -150,7 +151,7 @@ def best_run(spark, sf_dir):
 
 def _streaks(spark, sf_dir, **options) -> DataFrame:
     w = duplicates.saved(_scored(spark, sf_dir).select("path", "start", "score", "timing", "silence_ratio", "tempo"))
-    threshold = w.agg(F.percentile("score", F.lit(0.6)).alias("q"))  # one row
+    threshold = scoring.quantile_row(w, "score", {"q": 0.6})
     return segments.streaks(w.crossJoin(F.broadcast(threshold)), F.col("q"), silence=0.2, **options)
 
 
@@ -197,8 +198,7 @@ def segment_medians(spark, sf_dir):
 
 @query
 def score_dist(spark, sf_dir):
-    q = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
-    return rounded(_scored(spark, sf_dir).agg(F.min("score").alias("min"), *[F.percentile("score", F.lit(v)).alias(k) for k, v in q.items()], F.max("score").alias("max")))
+    return compilation.score_distribution(_scored(spark, sf_dir), 6)
 
 
 @query
@@ -230,25 +230,53 @@ def backward_asof(spark, sf_dir):
     return ledger.nearest_before(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), right, ["user_id"], "ts", "event_id").select("event_id", "matched")
 
 
+VOTE_KEYS = ["usuario", "compilado", "tramo"]
+
+
 @query
 def vote_state(spark, sf_dir):
-    return ledger.vote_state(adapters.votes(spark, sf_dir), ["usuario", "tramo"]).select("usuario", "tramo", "evento")
+    return ledger.vote_state(adapters.votes(spark, sf_dir), VOTE_KEYS).select(*VOTE_KEYS, "toma", "evento", "event_id")
+
+
+@query
+def note_state(spark, sf_dir):
+    return ledger.note_state(adapters.votes(spark, sf_dir), VOTE_KEYS).select(*VOTE_KEYS, "event_id")
+
+
+@query
+def vote_counts(spark, sf_dir):
+    return ledger.vote_counts(ledger.vote_state(adapters.votes(spark, sf_dir), VOTE_KEYS))
 
 
 @query
 def vote_coverage(spark, sf_dir):
-    live = ledger.vote_state(adapters.votes(spark, sf_dir), ["usuario", "tramo"])
-    present = adapters.votes(spark, sf_dir).select("tramo").where("tramo % 3 != 0")
-    return ledger.vote_coverage(live, present, "tramo", "usuario")
+    live = ledger.vote_state(adapters.votes(spark, sf_dir), VOTE_KEYS)
+    return ledger.vote_coverage(live, adapters.stretches(spark, sf_dir).where("toma % 3 != 0"), "toma", "usuario")
+
+
+@query
+def votes_not_rescued(spark, sf_dir):
+    live = ledger.vote_state(adapters.votes(spark, sf_dir), VOTE_KEYS)
+    return ledger.not_rescued(live, adapters.stretches(spark, sf_dir).where("toma % 3 != 0"))
+
+
+def _moving(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = adapters.votes(spark, sf_dir)
+    live = ledger.vote_state(e, VOTE_KEYS, kinds=ledger.VOTES).unionByName(ledger.note_state(e, VOTE_KEYS))
+    v = live.withColumnRenamed("event_id", "vote_id").withColumns({"ini": (F.col("vote_id") % 1800).cast("double"), "fin": (F.col("vote_id") % 1800 + 90).cast("double")})
+    return v, adapters.stretches(spark, sf_dir).where("toma != 7")
 
 
 @query
 def vote_rehome(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    c = l.groupBy((F.col("l_orderkey") % 50).alias("toma"), F.col("l_linenumber").alias("tramo"), (F.col("l_orderkey") % 3).cast("string").alias("compilado")).agg(F.min(F.col("l_partkey") % 600).cast("double").alias("ini")).withColumn("fin", F.col("ini") + 90)
-    e = table(spark, sf_dir, "events")
-    v = e.select(F.col("event_id").alias("vote_id"), (F.col("user_id") % 50).alias("toma"), (F.col("event_id") % 3).cast("string").alias("compilado"), (F.col("event_id") % 7 + 1).alias("tramo"), (F.col("event_id") % 600).cast("double").alias("ini")).withColumn("fin", F.col("ini") + 90)
-    return ledger.rehome(v, c).withColumn("new_tramo", F.col("new_tramo").cast("long"))
+    return ledger.rehome(*_moving(spark, sf_dir))
+
+
+@query
+def vote_corrections(spark, sf_dir):
+    v, c = _moving(spark, sf_dir)
+    events = ledger.corrections(v.drop("ini", "fin"), ledger.rehome(v, c), F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    return events.select("vote_id", "usuario", "toma", "compilado", "tramo", "evento", "deshace", F.unix_micros("nota_ts").alias("nota_us"), F.unix_micros("ts").alias("us"), "migracion")
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -283,7 +311,8 @@ def spearman_dims(spark, sf_dir):
 def _answers(spark, sf_dir) -> DataFrame:
     order = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
     a = table(spark, sf_dir, "events").select(F.lag("event_type").over(order).alias("a"), F.col("event_type").alias("b"), F.lag("value").over(order).alias("va"), F.col("value").alias("vb"))
-    choice = F.when(F.col("va") > F.col("vb"), "A").when(F.col("vb") > F.col("va"), "B").otherwise("ambos")
+    even = F.abs(F.col("va") - F.col("vb")) < 3
+    choice = F.when(even & (F.col("va") > 20), "ambos").when(even, "ninguno").when(F.col("va") > F.col("vb"), "A").when(F.col("vb") > F.col("va"), "B")
     return a.where("a IS NOT NULL AND a != b").select("a", "b", choice.alias("choice"))
 
 
@@ -300,33 +329,23 @@ def bradley_terry(spark, sf_dir):
 @query
 def pair_candidates(spark, sf_dir):
     items = scoring.ranked(_topics(spark, sf_dir), [F.col("p_retailprice").desc(), F.col("p_partkey")])
-    return evaluation.close_pairs(items.select(F.col("p_partkey").alias("item"), F.col("rank").cast("long").alias("rank"), "topic", F.lit(None).cast("string").alias("group")))
+    return evaluation.close_pairs(items.select(F.col("p_partkey").alias("item"), F.col("rank").cast("long").alias("rank"), "topic", F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 11).cast("string")).alias("group")))
 
 
-@query
-def tempo_chain(spark, sf_dir):
-    """The playlist of the best streak of each of 60 files, chained by tempo: greedy, over that one playlist."""
-    s = segments.top_per(_streaks(spark, sf_dir), ["path"], [F.round("mean", 9).desc(), F.col("ini")], 1).orderBy(F.round("mean", 9).desc(), "path").limit(60)
+def _chain(spark, sf_dir) -> DataFrame:
+    s, order = _ordered(rounded(_streaks(spark, sf_dir), 9))
+    return segments.tempo_chain(segments.budget(s, order, 7200, F.col("fin") - F.col("ini")), order)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = pdf.sort_values(["tempo", "ini", "path"], na_position="last").reset_index(drop=True)
-        order, left = [0], set(range(1, len(rest)))
-        tempo = rest.tempo.to_numpy(dtype=float)
-        while left:
-            a = tempo[order[-1]]
-            cost = {j: 1.0 if not (a > 0 and tempo[j] > 0) else min(abs(np.log2(a / (tempo[j] * m))) + (0 if m == 1 else 0.15) for m in (0.5, 1.0, 2.0)) for j in left}
-            nxt = min(left, key=lambda j: (cost[j], rest.ini[j], j))
-            order.append(nxt)
-            left.remove(nxt)
-        out = rest.iloc[order][["path", "ini", "fin", "tempo"]].reset_index(drop=True)
-        return out.assign(position=np.arange(1, len(out) + 1, dtype=np.int64))
 
-    return rounded(s.groupBy().applyInPandas(chain, "path string, ini double, fin double, tempo double, position long"))
+@query
+def tempo_chain(spark, sf_dir):
+    """The best streaks of a budget of two hours, chained by tempo."""
+    return rounded(_chain(spark, sf_dir))
 
 
 @query
 def tempo_stretch(spark, sf_dir):
-    return rounded(segments.tempo_adjusted(tempo_chain(spark, sf_dir), "position"))
+    return rounded(segments.tempo_adjusted(_chain(spark, sf_dir), "position"))
 
 
 @query
@@ -349,27 +368,254 @@ def classify_remote(spark, sf_dir):
 
 @query
 def folder_minmax(spark, sf_dir):
-    w = W.Window.partitionBy("c_nationkey")
-    lo, hi = F.min("c_acctbal").over(w), F.max("c_acctbal").over(w)
-    return rounded(table(spark, sf_dir, "customer").select("c_custkey", F.when(hi > lo, (F.col("c_acctbal") - lo) / (hi - lo)).otherwise(0.5).alias("scaled")))
+    return rounded(scoring.folder_scaled(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal").select("c_custkey", "scaled"))
 
 
 @query
 def top_per_folder(spark, sf_dir):
-    w = W.Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.row_number().over(w).alias("place")).where("place <= 5")
+    return segments.top_per(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 5).select("c_nationkey", "c_custkey")
 
 
 @query
 def onset_spread(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("d"), (F.hour("ts") + F.minute("ts") / 60.0).alias("h"))
-    g = e.groupBy("user_id", "d").agg(F.stddev_pop("h").alias("s"), F.count("*").alias("n"))
-    return rounded(g.groupBy("user_id").agg(F.coalesce(F.median(F.when(F.col("n") >= 2, F.col("s"))), F.lit(0.05)).alias("spread")))
+    return rounded(scoring.onset_spread(e, "user_id", "d", "h"))
+
+
+@query
+def moving_context(spark, sf_dir):
+    w = adapters.windows(spark, sf_dir).select("path", "widx", "chroma_0", "chroma_5")
+    return rounded(scoring.moving_average(scoring.moving_average(w, ["path"], "widx", "chroma_0", 5, "context_0"), ["path"], "widx", "chroma_5", 4, "context_5"))
 
 
 @query
 def answer_parser(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    word = F.element_at(F.array(*[F.lit(x) for x in ("A", "b", "AMBOS", "ninguno")]), (F.col("turn") % 4 + 1).cast("int"))
-    text = F.concat(F.lit("Lote 3 (x): "), (F.col("turn") + 1).cast("string"), F.when(F.col("turn") % 2 == 0, " ").otherwise(": "), word, F.lit("; zz"))
-    return ledger.parse_answers(c.select("conv_id", "turn", text.alias("answer")), "answer").where("NOT bad").select("conv_id", "turn", "num", "choice")
+    words = ("A", "b", "AMBOS", "ninguno", "ambas", "Ninguna", "los dos", "LAS DOS", "c", "A B")
+    word = F.element_at(F.array(*[F.lit(x) for x in words]), (F.col("conv_id") % 10 + 1).cast("int"))
+    between = F.element_at(F.array(*[F.lit(x) for x in (" ", ": ", "=", "-", " - ", "")]), (F.col("turn") % 6 + 1).cast("int"))
+    head = F.element_at(F.array(*[F.lit(x) for x in ("Lote 3 (x): ", "LOTE1:", " lote 12 : ", "")]), (F.col("conv_id") % 4 + 1).cast("int"))
+    text = F.concat(head, (F.col("turn") + 1).cast("string"), between, word, F.lit(" ; 007 a,, zz\n"))
+    return ledger.parse_answers(c.select("conv_id", "turn", text.alias("answer")), "answer").select("conv_id", "turn", "token", "num", "choice", "bad")
+
+
+@query
+def answers_in_force(spark, sf_dir):
+    return feedback.answered(adapters.pairs(spark, sf_dir), adapters.answers(spark, sf_dir)).select("lote", "num", "seg_a", "eleccion")
+
+
+@query
+def answers_unknown(spark, sf_dir):
+    u = feedback.unknown_answers(adapters.pairs(spark, sf_dir), adapters.answers(spark, sf_dir))
+    return u.groupBy("lote", "num", "reason").agg(F.count("*").alias("n"))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return feedback.answered(adapters.pairs(spark, sf_dir), adapters.answers(spark, sf_dir))
+
+
+@query
+def pairs_pending(spark, sf_dir):
+    return feedback.pending(_asked(spark, sf_dir), adapters.segments(spark, sf_dir))
+
+
+@query
+def pairs_seen(spark, sf_dir):
+    return feedback.seen_pairs(adapters.pairs(spark, sf_dir), adapters.segments(spark, sf_dir))
+
+
+@query
+def batch_numbers(spark, sf_dir):
+    asked = _asked(spark, sf_dir)
+    return feedback.next_batch(asked).select(F.col("lote").alias("next")).crossJoin(feedback.pending_batch(asked).select(F.col("lote").alias("pending")))
+
+
+def _part_files(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    score = lambda n: (F.col("p_partkey") * n % 101) / 100.0
+    return p.select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".mp3")).alias("path"), score(37).alias("interes"), score(53).alias("ejecucion"), score(71).alias("score_med"), F.col("p_brand").alias("topic"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size").cast("string")).alias("group"))
+
+
+@query
+def gem_wins(spark, sf_dir):
+    return rounded(feedback.gem_wins(_asked(spark, sf_dir), adapters.segments(spark, sf_dir), _part_files(spark, sf_dir)))
+
+
+@query
+def opposite_tails(spark, sf_dir):
+    return feedback.opposite_tails(_part_files(spark, sf_dir)).select("path", "gem", "perf")
+
+
+@query
+def pair_draw(spark, sf_dir):
+    seen = feedback.seen_pairs(adapters.pairs(spark, sf_dir), adapters.segments(spark, sf_dir))
+    return feedback.draw_pairs(_part_files(spark, sf_dir), 40, 7, seen)
+
+
+@query
+def pair_sides(spark, sf_dir):
+    """Candidates for pairs: the best run of each file with enough windows."""
+    w = _scored(spark, sf_dir)
+    files = w.groupBy("path").agg(F.count("*").alias("n_win"))
+    return feedback.candidates(w, files, 3)
+
+
+@query
+def latent_join(spark, sf_dir):
+    s = adapters.segments(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("item"), (F.col("id") % 17 / 10.0).alias("bt"))
+    return feedback.latent_dimensions(s, adapters.segments(spark, sf_dir), _part_files(spark, sf_dir).where("topic != 'Brand#11'"), ["interes", "ejecucion"])
+
+
+@query
+def segment_ids(spark, sf_dir):
+    """Segments asked for twice or known already are stored once; ids are hashes, so only what they stand for is compared."""
+    s = adapters.segments(spark, sf_dir).drop("id")
+    known = feedback.with_segments(s.where("start < 600"))
+    new = feedback.with_segments(s.unionByName(s), known)
+    return new.unionByName(known).groupBy("path", "start", "end").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query
+def dup_listing(spark, sf_dir):
+    d = _letters(spark, sf_dir)
+    g = duplicates.duplicate_groups(d).withColumn("path", F.concat(F.lit("f/"), F.col("path").cast("string")))
+    return duplicates.listed_groups(g).select("group", F.array_join("names", ",").alias("names"))
+
+
+@query
+def median_percentile(spark, sf_dir):
+    return rounded(evaluation.median_percentile(_label_ranks(spark, sf_dir), "doc_id"))
+
+
+@query
+def name_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Folder/"), F.initcap("p_name"), F.lit(".mp3")).alias("path"))
+    return evaluation.named_like(p, "path", ["RED", "dg"]).select("p_partkey")
+
+
+@query
+def sample_files(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    return evaluation.sampled(p, "p_partkey", 30, 5, p.where("p_partkey <= 10"))
+
+
+@query
+def file_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    day = F.to_timestamp("o_orderdate")
+    files = o.select(F.col("o_orderkey").cast("string").alias("path"), day.alias("mtime"))
+    iso = F.date_format(day - F.expr("INTERVAL 3 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
+    made = F.when(F.col("o_orderkey") % 3 == 0, F.concat(iso, F.lit(".500Z"))).when(F.col("o_orderkey") % 3 == 1, "")
+    manifest = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("local_path"), F.concat(iso, F.lit("+02:00")).alias("modtime"), made.alias("btime"))
+    return dates.file_dates(files, manifest).select("path", F.unix_micros("date").alias("us"))
+
+
+@query
+def date_columns(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return e.select("event_id", F.unix_micros(fx.months_back(F.col("ts"), 7)).alias("back_us"), fx.local_day(F.col("ts"), "America/Argentina/Buenos_Aires").cast("string").alias("day"), stores.landing_path("in/", F.col("ts"), F.concat(F.col("event_id").cast("string"), F.lit(".mp3"))).alias("target"), F.unix_micros(fx.from_epoch(F.unix_micros("ts") / 1e6)).alias("us"))
+
+
+@query
+def range_labels(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    at = dates.since(day="2024-01-03")
+    kinds = ({"year": 2024}, {"last": True, "tz": "Asia/Tokyo"}, {"months": 3, "since": at}, {"since": at}, {})
+    rows = [dates.range_label(e, "ts", **k).withColumn("n", F.lit(i)) for i, k in enumerate(kinds)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def quota_rounding(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", fx.quota(F.col("p_partkey"), 0.5).alias("half"))
+    return p.withColumn("key", fx.compilation_key(F.lit("todo"), F.when(F.col("half") % 2 == 0, "gems").otherwise("ideas"), F.col("p_partkey") % 3 == 0))
+
+
+def _pieces(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", (F.col("p_size") * 7.0).alias("ini"), (F.col("p_size") * 7.0 + F.col("p_partkey") % 9).alias("fin"), F.when(F.col("p_partkey") % 50 == 0, F.lit(float("-inf"))).otherwise(-10.0 - F.col("p_size")).alias("dbfs"))
+
+
+@query
+def level_gains(spark, sf_dir):
+    return segments.level_gains(_pieces(spark, sf_dir)).select("p_partkey", "gain_db")
+
+
+@query
+def pieces_long_enough(spark, sf_dir):
+    return segments.long_enough(_pieces(spark, sf_dir), 2.0).select("p_partkey")
+
+
+@query
+def beat_snap(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    beats = e.select((F.col("user_id") % 20).cast("string").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) % 3_600_000_000 / 1e6).alias("beat"))
+    points = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 23).cast("string").alias("path"), (F.col("p_partkey") * 13.5 % 3600).alias("t"))
+    return rounded(segments.snap_to_beat(points, beats))
+
+
+@query
+def fresh_streaks(spark, sf_dir):
+    w = duplicates.saved(_scored(spark, sf_dir).select("path", "start", "score", "silence_ratio", "tempo"))
+    q = scoring.quantile_row(w, "score", {"q": 0.6})
+    used = segments.best_run(_scored(spark, sf_dir), 3)
+    return rounded(segments.fresh_streaks(w.crossJoin(F.broadcast(q)), F.col("q"), used, 1, silence=0.2).select("path", "ini", "fin", "mean"))
+
+
+@query
+def selection_order(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("sig"))
+    chosen = duplicates.diverse(e, [F.col("vec_id")], 20, 0.3).select("vec_id", "pick")
+    return segments.in_selection_order(e, chosen, "vec_id").select("vec_id", "pick")
+
+
+def _published(spark, sf_dir) -> DataFrame:
+    take = adapters.take_path("o_custkey").alias("path")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", take, (F.col("o_orderkey") % 40 * 30.0).alias("ini"))
+    return o.select((F.col("o_orderkey") % 12).cast("string").alias("compilado"), F.col("o_orderkey").alias("tramo"), F.element_at(F.split("path", "/"), -1).alias("toma"), F.col("ini").alias("origen_ini_s"), (F.col("ini") + 120).alias("origen_fin_s"), F.when(F.col("o_orderkey") % 5 != 0, 0.5).alias("score"))
+
+
+def _rescored(spark, sf_dir) -> DataFrame:
+    w = duplicates.saved(_scored(spark, sf_dir).select("path", "start", "score", "timing", "sonido"))
+    files = w.groupBy("path").agg(F.count("*").alias("n")).withColumn("interes", F.col("n") / 100.0)
+    again = files.where("path LIKE 'e3/%'").withColumn("path", F.regexp_replace("path", "^e3", "e33"))  # names that two files have
+    return compilation.rescored(_published(spark, sf_dir), w, files.unionByName(again))
+
+
+@query
+def manifest_rescore(spark, sf_dir):
+    return _rescored(spark, sf_dir).select("compilado", "tramo", "toma", "score", "timing", "interes", F.bround("change", 3).alias("change"))
+
+
+@query
+def rescore_deltas(spark, sf_dir):
+    r = compilation.rescoring_report(_rescored(spark, sf_dir))
+    return r.withColumns({c: F.bround(c, 3) for c in ("median_change", "max_change")})
+
+
+@query
+def playlist_report(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), (F.col("p_partkey") * 45.0).alias("pos_s"), F.concat(F.lit("x/"), F.col("p_name"), F.lit(".mp3")).alias("path"), (F.col("p_size") * 30.0).alias("ini"), (F.col("p_size") * 30.0 + 90).alias("fin"), F.when(F.col("p_size") > 5, F.col("p_size") * 3.0).alias("tempo"), (F.col("p_size") / 100.0).alias("score"), (F.col("p_size") / 200.0).alias("timing"))
+    return compilation.report_lines(p, "todo_gems_fijo", "filtro=todo")
+
+
+@query
+def class_penalties(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("n"), (F.col("event_id") % 9).cast("int").alias("idx"), F.col("value").alias("score"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("index"), F.col("n_name").alias("display_name"))
+    return rounded(stores.class_penalty(e, names, ("NATION_1", "NATION_4", "NATION_7", "NATION_24")), 4)
+
+
+@query
+def local_files(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    path = F.concat(F.lit("r/"), (F.col("p_partkey") % 3).cast("string"), F.lit("/"), F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, ".MP3").when(F.col("p_partkey") % 7 == 0, ".wav").otherwise(".mp3"))
+    return stores.local_index(p.select(path.alias("path"), F.col("p_size").cast("long").alias("size")))
+
+
+@query
+def name_matches(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(".mp3")).alias("toma"))
+    words = table(spark, sf_dir, "part").select(F.upper(F.element_at(F.split("p_name", " "), 1)).alias("name")).distinct()
+    whole = table(spark, sf_dir, "part").select("p_name").distinct().select(F.concat("p_name", F.lit(".MP3")).alias("name"))
+    return stores.match_names(words.unionByName(whole).distinct(), p).select("name", "p_partkey")

@@ -45,6 +45,11 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(two, F.count("*") * 60 / F.greatest(F.avg("gap"), F.lit(1e-10))).alias("tempo"),
         F.when(two, slope).alias("tempo_drift"),
         (F.max("value") < 1).cast("int").alias("is_silent"),
+        share(F.col("value") < 20).alias("onset_dev_mad"),
+        share(F.col("value").between(20, 60)).alias("band_sync"),
+        share(F.col("us") % 7 < 2).alias("tuning_dev"),
+        share(F.col("value") > 80).alias("fuera_tono_p95"),
+        F.when(two, F.stddev_pop("value")).alias("harmonic_flux"),
         *chroma,
     )
     key = F.greatest(*[F.col(f"chroma_{i}") for i in range(12)])
@@ -58,6 +63,34 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vote events of users on numbered stretches."""
-    kind = F.when(F.col("event_type").isin("view", "click"), "like").when(F.col("event_type") == "purchase", "star").when(F.col("event_type") == "error", "undo").otherwise("nota")
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("usuario"), F.get_json_object("props", "$.k").cast("long").alias("tramo"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("evento"))
+    """Vote events of users on numbered stretches of two compilations: likes, dislikes, stars, notes, and undos of either."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), "dislike").when(F.col("event_type").isin("view", "click"), "like").when(F.col("event_type") == "purchase", "star").when(F.col("event_type") == "error", "undo").otherwise("nota")
+    undone = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "nota").otherwise("voto"))
+    n = F.get_json_object("props", "$.k").cast("long")
+    return e.select("event_id", F.col("user_id").alias("usuario"), F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string")).alias("compilado"), (n % 10).alias("tramo"), (n % 25).alias("toma"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("evento"), undone.alias("deshace"))
+
+
+def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of three compilations: toma, compilado, tramo, ini, fin."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    g = l.groupBy((F.col("l_orderkey") % 25).alias("toma"), F.col("l_linenumber").cast("long").alias("tramo"), F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("compilado"))
+    return g.agg((F.min(F.col("l_partkey") % 600) * 3).cast("double").alias("ini")).where("(toma + tramo) % 4 != 0").withColumn("fin", F.col("ini") + 90)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of segments (parts) in batches of 50, some of them gems against performances."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.floor(F.col("p_partkey") / 50).cast("long").alias("lote"), (F.col("p_partkey") % 50).alias("num"), F.col("p_partkey").alias("seg_a"), (F.col("p_partkey") % 97 + 1).alias("seg_b"), F.when(F.col("p_partkey") % 3 == 0, "gem_vs_perf").otherwise("azar").alias("tipo"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment of a file for each part."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".mp3")).alias("path"), (F.col("p_size") * 30.0).alias("start"), (F.col("p_size") * 30.0 + 60).alias("end"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to pairs, some twice, to pairs that do not exist, and of words that are no choice."""
+    e = table(spark, sf_dir, "events")
+    word = F.element_at(F.array(*[F.lit(x) for x in ("A", "B", "ambos", "ninguno", "quizas")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select((F.col("user_id") % 60).alias("lote"), (F.col("event_id") % 55).alias("num"), word.alias("eleccion"), F.lit(None).cast("string").alias("tags"), F.col("ts").cast("timestamp").alias("ts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOTE_SCHEMA = "event_id long, usuario long, tramo long, ts timestamp, evento string"
+VOTE_SCHEMA = "event_id long, usuario long, tramo long, ts timestamp, evento string, deshace string"
 
 
 def vote_stream(spark, path: str) -> DataFrame:
@@ -13,10 +13,11 @@ def vote_stream(spark, path: str) -> DataFrame:
     return spark.readStream.schema(VOTE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
-def votes_in_force(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """The last event but notes of each user and stretch, for complete or update mode; filter on like and star when read."""
+def votes_in_force(events: DataFrame, watermark: str | None = None, kinds: tuple[str, ...] = ("like", "star")) -> DataFrame:
+    """The last vote or undo of a vote of each user and stretch, for complete or update mode; an undo stands for no vote when read."""
     e = events.withWatermark("ts", watermark) if watermark else events
-    return e.where("evento != 'nota'").groupBy("usuario", "tramo").agg(F.max_by("evento", F.struct("ts", "event_id")).alias("evento"), F.max("ts").alias("ts"))
+    undo = (F.col("evento") == "undo") & ~F.coalesce(F.col("deshace") == "nota", F.lit(False))
+    return e.where(F.col("evento").isin(*kinds) | undo).groupBy("usuario", "tramo").agg(F.max_by("evento", F.struct("ts", "event_id")).alias("evento"), F.max("ts").alias("ts"))
 
 
 def session_stream(events: DataFrame, key: str, ts: str = "ts", gap: str = "12 hours", watermark: str = "1 day") -> DataFrame:
