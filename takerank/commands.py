@@ -148,14 +148,14 @@ def compile(  # noqa: A001
     best = [F.round("mean", 9).desc(), F.col("path"), F.col("ini")]
     if dynamic:
         threshold = scoring.quantile_row(w, column, {"q": quantile}).first().q  # over all windows, not those of the chosen files
-        options = {"column": column, "least": run, "most": longest, "silence": silence}
+        options = {"column": column, "least": run, "most": longest, "silence": silence, "win": o.win, "hop": o.hop}
         if used is None:
             s = segments.top_per(segments.streaks(own, F.lit(threshold), **options), ["path"], [best[0], best[2]], per_take)
         else:
             s = segments.fresh_streaks(own, F.lit(threshold), used, per_take, **options)
         s = s.select("path", "ini", "fin", "tempo", "mean")
     else:
-        s = segments.best_run(own, run, column).drop("n").join(f.select("path", "tempo", F.col(o.sort_by).alias("mean")), "path")
+        s = segments.best_run(own, run, column, o.win, o.hop).drop("n").join(f.select("path", "tempo", F.col(o.sort_by).alias("mean")), "path")
         s = s if used is None else segments.avoid_used(s, used)
     if minutes:
         s = segments.budget(s, best, minutes * 60, F.col("fin") - F.col("ini")).drop("before_s")
@@ -189,7 +189,7 @@ def evaluate(spark: SparkSession, store: str, o: Options, truth: str) -> dict[st
 def compare(spark: SparkSession, store: str, o: Options, n: int = 10, run: int = 2, seed: int = 0) -> DataFrame:
     """Draw a batch of n pairs that were never asked, store its segments and pairs, and give what is to be asked."""
     w, f = scored(spark, store, o)
-    c = feedback.candidates(w, f, run).join(_grouped(spark, store, o), "path", "left")
+    c = feedback.candidates(w, f, run, win=o.win, hop=o.hop).join(_grouped(spark, store, o), "path", "left")
     c = saved(c.join(duplicates.topics(c.select("toma"), "toma").distinct(), "toma", "left"))
     pairs, known = stores.table_or_empty(spark, f"{store}/pairs", PAIRS), stores.table_or_empty(spark, f"{store}/segments", SEGMENTS)
     drawn = saved(feedback.draw_pairs(c, n, seed, feedback.seen_pairs(pairs, known)))

@@ -225,6 +225,8 @@ def window_features(y: np.ndarray, sr: int) -> dict[str, float]:
     contrast = []
     for lo, hi in ((0, 200), (200, 400), (400, 800), (800, 1600), (1600, 3200), (3200, 6400), (6400, sr)):
         band = np.sort(mag[:, (freqs >= lo) & (freqs < hi)], axis=1)
+        if not band.shape[1]:
+            continue
         k = max(1, round(0.02 * band.shape[1]))
         contrast.append(10 * np.log10(np.maximum(band[:, -k:].mean(axis=1), FLOOR)) - 10 * np.log10(np.maximum(band[:, :k].mean(axis=1), FLOOR)))
     out["spectral_contrast"] = float(np.mean(contrast))
@@ -299,10 +301,11 @@ def extract(files: DataFrame, sr: int = 22050, win: float = 30.0, hop: float = 3
             for path, content in zip(batch.path, batch.content, strict=True):
                 try:
                     y = decoder(content, sr)
-                    rows = [{"path": path, "status": "ok", "duration": len(y) / sr, "sig": signature(y, sr)}]
-                    rows += [{"path": path, "widx": i, "start": s, "status": "ok"} | {k: v if v == v else None for k, v in window_features(w, sr).items()} for i, s, w in windows(y, sr, win, hop)]
+                    rows = [{"path": path, "status": "ok", "duration": len(y) / sr, "sig": None if len(y) < FRAME else signature(y, sr).tolist()}]
+                    rows += [{"path": path, "widx": i, "start": s, "status": "ok", "sig": None} | {k: v if v == v else None for k, v in window_features(w, sr).items()} for i, s, w in windows(y, sr, win, hop)]
                 except Exception as e:  # noqa: BLE001  an unreadable file is a row, not a failed job
-                    rows = [{"path": path, "status": "error", "error": str(e)[:200]}]
-                yield pd.DataFrame(rows, columns=columns).astype({"widx": "Int32"})
+                    rows = [{"path": path, "status": "error", "error": str(e)[:200], "sig": None}]
+                out = pd.DataFrame(rows, columns=columns).astype({"widx": "Int32"})
+                yield out.assign(sig=pd.Series([r["sig"] for r in rows], dtype=object), error=pd.Series([r.get("error") for r in rows], dtype=object))
 
     return files.select("path", "content").mapInPandas(run, schema)

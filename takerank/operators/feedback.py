@@ -26,9 +26,9 @@ def with_segments(stretches: DataFrame, known: DataFrame | None = None) -> DataF
     return new if known is None else new.join(known.select("id"), "id", "left_anti")
 
 
-def candidates(windows: DataFrame, files: DataFrame, n: int, column: str = "score") -> DataFrame:
+def candidates(windows: DataFrame, files: DataFrame, n: int, column: str = "score", **cut: float) -> DataFrame:
     """files of at least n windows with start and end of their best run of n windows."""
-    run = best_run(windows, n, column).select("path", F.col("ini").alias("start"), F.col("fin").alias("end"))
+    run = best_run(windows, n, column, **cut).select("path", F.col("ini").alias("start"), F.col("fin").alias("end"))
     return files.where(F.col("n_win") >= n).join(run, "path")
 
 

@@ -15,20 +15,20 @@ from takerank.operators.order import ranked, running
 HOP = 30.0
 
 
-def _rolling(column: str, n: int) -> tuple[Column, Column]:
+def _rolling(column: str, n: int, hop: float) -> tuple[Column, Column]:
     """(mean over the last n rows or null, whether these rows are contiguous) by path and start."""
     order = W.Window.partitionBy("path").orderBy("start")
     frame = order.rowsBetween(-(n - 1), 0)
     mean = F.when(F.count("start").over(frame) == n, F.avg(column).over(frame))
-    return mean, F.abs(F.col("start") - F.lag("start", n - 1).over(order) - (n - 1) * HOP) < 5e-4
+    return mean, F.abs(F.col("start") - F.lag("start", n - 1).over(order) - (n - 1) * hop) < 5e-4
 
 
-def best_run(windows: DataFrame, n: int, column: str = "score") -> DataFrame:
+def best_run(windows: DataFrame, n: int, column: str = "score", win: float = HOP, hop: float = HOP) -> DataFrame:
     """path, ini, fin of the best contiguous run of n windows of each file.
 
     A file of at most n windows gives its whole span; one without a contiguous run its best window.
     """
-    mean, contiguous = _rolling(column, n)
+    mean, contiguous = _rolling(column, n, hop)
     w = windows.select("path", "start", F.col(column).alias("s"), mean.alias("m"), contiguous.alias("ok"))
     run = F.when(F.col("ok"), F.round("m", 9))
     g = w.groupBy("path").agg(
@@ -39,17 +39,17 @@ def best_run(windows: DataFrame, n: int, column: str = "score") -> DataFrame:
         F.max_by("start", F.struct(F.round("s", 9), -F.col("start"))).alias("single"),
     )
     short = F.col("n") <= n
-    ini = F.when(short, F.col("first")).otherwise(F.coalesce(F.col("end_of_run") - (n - 1) * HOP, F.col("single")))
-    fin = F.when(short, F.col("last")).otherwise(F.coalesce("end_of_run", "single")) + HOP
+    ini = F.when(short, F.col("first")).otherwise(F.coalesce(F.col("end_of_run") - (n - 1) * hop, F.col("single")))
+    fin = F.when(short, F.col("last")).otherwise(F.coalesce("end_of_run", "single")) + win
     return g.select("path", ini.alias("ini"), fin.alias("fin"), "n")
 
 
-def streaks(windows: DataFrame, threshold: Column | float, column: str = "score", least: int = 2, most: int = 0, silence: float = 0.08) -> DataFrame:
+def streaks(windows: DataFrame, threshold: Column | float, column: str = "score", least: int = 2, most: int = 0, silence: float = 0.08, win: float = HOP, hop: float = HOP) -> DataFrame:
     """path, island, ini, fin, n, mean and tempo of the contiguous runs of good windows; longer ones are cut to their best ``most``."""
     order = W.Window.partitionBy("path").orderBy("start")
     good = (F.col(column) >= threshold) & (F.coalesce("silence_ratio", F.lit(0.0)) <= silence)
     g = windows.where(good).select("path", "start", F.col(column).alias("s"), "tempo")
-    new = F.coalesce(F.abs(F.col("start") - F.lag("start").over(order) - HOP) >= 1e-3, F.lit(True))
+    new = F.coalesce(F.abs(F.col("start") - F.lag("start").over(order) - hop) >= 1e-3, F.lit(True))
     g = g.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order))
     size = F.count("*").over(W.Window.partitionBy("path", "island"))
     g = g.withColumn("size", size).where(F.col("size") >= least)
@@ -59,8 +59,8 @@ def streaks(windows: DataFrame, threshold: Column | float, column: str = "score"
         g = g.withColumn("m", F.when(F.count("*").over(frame) == most, F.round(F.avg("s").over(frame), 9)))
         whole = W.Window.partitionBy("path", "island")
         g = g.withColumn("stop", F.max_by("start", F.when(F.col("m").isNotNull(), F.struct("m", -F.col("start")))).over(whole))
-        g = g.where((F.col("size") <= most) | ((F.col("start") <= F.col("stop")) & (F.col("start") > F.col("stop") - most * HOP + 1e-3)))
-    out = g.groupBy("path", "island").agg(F.min("start").alias("ini"), (F.max("start") + HOP).alias("fin"), F.count("*").alias("n"), F.avg("s").alias("mean"), F.median("tempo").alias("tempo"))
+        g = g.where((F.col("size") <= most) | ((F.col("start") <= F.col("stop")) & (F.col("start") > F.col("stop") - most * hop + 1e-3)))
+    out = g.groupBy("path", "island").agg(F.min("start").alias("ini"), (F.max("start") + win).alias("fin"), F.count("*").alias("n"), F.avg("s").alias("mean"), F.median("tempo").alias("tempo"))
     return out
 
 
@@ -112,8 +112,9 @@ def snap_to_beat(points: DataFrame, beats: DataFrame, at: str = "t", margin: flo
     bucket = F.floor(F.col("_t") / margin)
     near = places.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     found = near.join(beats.select("path", "beat", F.floor(F.col("beat") / margin).alias("_bucket")), ["path", "_bucket"]).where(F.abs(F.col("beat") - F.col("_t")) <= margin)
-    best = found.groupBy("path", "_t").agg(F.min_by("beat", F.struct(F.abs(F.col("beat") - F.col("_t")), "beat")).alias("_beat"))
-    return points.join(best, (points.path == best.path) & (points[at] == best._t), "left").select(*[points[c] for c in points.columns], F.coalesce("_beat", points[at]).alias("snapped"))
+    best = found.groupBy(F.col("path").alias("_path"), "_t").agg(F.min_by("beat", F.struct(F.abs(F.col("beat") - F.col("_t")), "beat")).alias("_beat"))
+    out = points.join(best, (F.col("path") == F.col("_path")) & (F.col(at) == F.col("_t")), "left")
+    return out.select(*points.columns, F.coalesce("_beat", at).alias("snapped"))
 
 
 def in_selection_order(df: DataFrame, chosen: DataFrame, key: str = "path", place: str = "pick") -> DataFrame:
