@@ -42,8 +42,9 @@ ROWS = 4  # MinHash values in a band
 BANDS = 28  # a pair of similarity 0.75 shares no band with probability (1 - 0.75**4) ** 28 = 0.00002
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
-BLOCK = 256  # members of a block in pass 2
-BLOCK_BYTES = 8 << 20  # and their bitmaps together, but for single larger ones
+BLOCK = 64  # members of a block in pass 2
+BLOCK_BYTES = 1 << 17  # and their bitmaps together, but for single larger ones; a batch for Python holds pairs of blocks
+DEAL = 64  # blocks that a task compares with one block
 SPARE = 3
 SEED = 20240229
 
@@ -300,18 +301,17 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     major = F.max_by(F.struct("label", "count", "bytes"), F.struct("count", "label"))
     mixed = size.groupBy("band").agg(major.alias("major"), F.sum("count").alias("count"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     held = held.drop("n").join(mixed, "band").withColumn("minor", F.col("label") != F.col("major.label"))
-    side = lambda c: F.when(F.col("minor"), F.col(c) - F.col(f"major.{c}")).otherwise(F.col(f"major.{c}"))
-    blocks = F.ceil(F.greatest(side("count") / BLOCK, side("bytes") / BLOCK_BYTES))
-    held = held.withColumn("block", F.pmod(F.xxhash64("key"), blocks)).select("band", "minor", "block", "key", "label")
-    held = held.join(sets.select("key", "n", "parity", "bands").dropDuplicates(["key"]), "key")
-    block = work.stored(held.groupBy("band", "minor", "block").agg(F.collect_list(F.struct("key", "label", "n", "parity", "bands")).alias("rows")), "blocks")
-    # pairs of blocks are dealt out as numbers first, and each block then joins its pairs
-    left = block.where("minor").select("band", F.col("block").alias("i"))
-    right = block.select("band", F.col("block").alias("j"), "minor")
-    pairs = left.join(right, "band").where("NOT minor OR i <= j")
-    pairs = pairs.join(block.where("minor").select("band", F.col("block").alias("i"), F.col("rows").alias("one")), ["band", "i"])
-    pairs = pairs.join(block.select("band", "minor", F.col("block").alias("j"), F.col("rows").alias("two")), ["band", "minor", "j"])
-    tasks = pairs.select("one", "two", "band", (F.col("minor") & (F.col("i") == F.col("j"))).alias("same"))
+    minors = F.ceil(F.greatest((F.col("count") - F.col("major.count")) / BLOCK, (F.col("bytes") - F.col("major.bytes")) / BLOCK_BYTES))
+    majors = F.ceil(F.greatest(F.col("major.count") / BLOCK, F.col("major.bytes") / BLOCK_BYTES))
+    held = held.withColumns({"minors": minors, "deals": F.ceil((minors + majors) / DEAL), "block": F.pmod(F.xxhash64("key"), F.when(F.col("minor"), minors).otherwise(majors))})
+    held = held.select("band", "minors", "deals", "minor", "block", "key", "label").join(sets.select("key", "n", "parity", "bands").dropDuplicates(["key"]), "key")
+    block = work.stored(held.groupBy("band", "minors", "deals", "minor", "block").agg(F.collect_list(F.struct("key", "label", "n", "parity", "bands")).alias("rows")), "blocks")
+    # each block of the smaller components meets the others in several tasks, at most DEAL or so in one
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = block.where("minor").select("band", F.col("block").alias("i"), each("deals").alias("deal"), F.col("rows").alias("one"))
+    right = block.select("band", each("minors").alias("i"), F.pmod("block", "deals").alias("deal"), "minor", F.col("block").alias("j"), F.col("rows").alias("two"))
+    tasks = left.join(right, ["band", "i", "deal"]).where("NOT minor OR i <= j")
+    tasks = tasks.select("one", "two", "band", (F.col("minor") & (F.col("i") == F.col("j"))).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
