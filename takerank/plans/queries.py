@@ -104,7 +104,8 @@ def _letters(spark, sf_dir) -> DataFrame:
     low = F.lower("text")
     counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("path"), F.col("n_chars").cast("double").alias("duration"), counts.alias("v"), "n_chars").withColumn("sig", fx.unit(F.col("v"))).drop("v")
+    counted = duplicates.saved(d.select(F.col("doc_id").alias("path"), F.col("n_chars").cast("double").alias("duration"), counts.alias("v"), "n_chars"))  # read several times
+    return counted.withColumn("sig", fx.unit(F.col("v"))).drop("v")
 
 
 @query
