@@ -10,8 +10,8 @@ buckets find every link that matters for the components:
 
 A pair is first judged by Odd sketches. In pass 1 it is the parity bitmap of the MinHash samples,
 whose XOR population count estimates the similarity; a pair goes on if the count is at most
-``SPARE`` standard deviations above that of the threshold, which holds for 99.8 % of the pairs at the
-threshold itself and more above it; what is left out here is left to pass 2. In pass 2 it is the parity bitmap of the whole set,
+``SPARE`` standard deviations above that of the threshold, which by the normal approximation holds
+for about 99.8 % of the pairs at the threshold itself and more above it; what is left out here is left to pass 2. In pass 2 it is the parity bitmap of the whole set,
 a sample that leaves nothing out: there the count is at most the number of shingles in which the sets
 differ, so the threshold itself drops no link. What remains is confirmed on the full sets. Pairs inside
 a component need no comparison, so a group of n copies costs n comparisons and not n * n.
