@@ -8,6 +8,7 @@ pictures or video, and what is copied from remotes, lies outside.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime
 
@@ -82,11 +83,29 @@ def _there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+#: By store and kind, what the last command of this driver computed: (what it was computed from, the table).
+_KEPT: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _kept(spark: SparkSession, store: str, kind: str, options: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the store, made anew when the session, the options or the rows of stored files are others than the last time."""
+    registered = repr((model.PROFILES, model.WEIGHTS, model.WINDOW_DIMENSIONS, model.FILE_DIMENSIONS))
+    state = (spark, options, registered, stores.version(spark, store))
+    if _KEPT.get((store, kind), (None,))[0] != state:
+        _KEPT[store, kind] = (state, saved(make()))
+    return _KEPT[store, kind][1]
+
+
+def _windows(spark: SparkSession, store: str, o: Options) -> DataFrame:
+    """Windows of the store with their scores."""
+    return _kept(spark, store, "windows", (o.params, o.root, o.settings), lambda: scoring.score_windows(stores.load_windows(spark, store, o.params, o.root), o.settings))
+
+
 def scored(spark: SparkSession, store: str, o: Options) -> tuple[DataFrame, DataFrame]:
     """(windows with their scores, files with theirs) of the store, the files filtered by windows and dates."""
-    w = saved(scoring.score_windows(stores.load_windows(spark, store, o.params, o.root), o.settings))
-    stored = stores.stored_files(spark, store)
-    f = scoring.aggregate_files(w, stored, o.settings).where(F.col("n_win") >= o.least_windows)
+    w, stored = _windows(spark, store, o), stores.stored_files(spark, store)
+    f = _kept(spark, store, "files", (o.params, o.root, o.settings), lambda: scoring.aggregate_files(w, stored, o.settings))
+    f = f.where(F.col("n_win") >= o.least_windows)
     f = dates.file_dates(f.join(stored.select("path", "mtime"), "path", "left"), stores.table_or_empty(spark, f"{store}/remote", REMOTE))
     if o.since or o.until or o.months or o.year or o.last_session:
         since, until = o.since or dates.since(o.months), o.until
@@ -97,7 +116,9 @@ def scored(spark: SparkSession, store: str, o: Options) -> tuple[DataFrame, Data
 
 
 def _grouped(spark: SparkSession, store: str, o: Options) -> DataFrame:
-    return duplicates.duplicate_groups(stores.load_signatures(spark, store, o.root, o.params), o.similarity, o.tolerance)
+    """path and duplicate group of the files with a fingerprint."""
+    signatures = stores.load_signatures(spark, store, o.root, o.params)
+    return _kept(spark, store, "groups", (o.params, o.root, o.similarity, o.tolerance), lambda: duplicates.duplicate_groups(signatures, o.similarity, o.tolerance))
 
 
 def rank(spark: SparkSession, store: str, o: Options, dedupe: bool = False) -> DataFrame:
@@ -113,7 +134,7 @@ def rank(spark: SparkSession, store: str, o: Options, dedupe: bool = False) -> D
 
 def diag(spark: SparkSession, store: str, o: Options) -> DataFrame:
     """The profile of every feature over all windows."""
-    return scoring.diagnose(scored(spark, store, o)[0])
+    return scoring.diagnose(_windows(spark, store, o))
 
 
 def dupes(spark: SparkSession, store: str, o: Options) -> DataFrame:
@@ -134,7 +155,7 @@ def compile(  # noqa: A001
     w, f = scored(spark, store, o)
     order = [F.col(o.sort_by).desc_nulls_last(), F.col("path")]
     signatures = stores.load_signatures(spark, store, o.root, o.params)
-    f = duplicates.first_of_group(f.join(duplicates.duplicate_groups(signatures, o.similarity, o.tolerance), "path", "left"), "group", order).where(F.col("n_win") >= run)
+    f = duplicates.first_of_group(f.join(_grouped(spark, store, o), "path", "left"), "group", order).where(F.col("n_win") >= run)
     if per_topic:
         every = stores.stored_files(spark, store).select(F.element_at(F.split("path", "/"), -1).alias("toma")).distinct()
         f = segments.capped(f.join(duplicates.topics(every, "toma"), "toma", "left"), "topic", order, per_topic)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
@@ -124,6 +125,11 @@ def stored_files(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.schema(FILE_COLUMNS).parquet(f"{path}/files"), ["path"], F.struct("ts", "run"))
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """A digest that changes with every run that stores files: the table of files is append-only."""
+    return hashlib.sha256("\n".join(sorted(spark.read.schema(FILE_COLUMNS).parquet(f"{path}/files").inputFiles())).encode()).hexdigest()
+
+
 def _under(root: str | None) -> Column:
     return F.col("path").startswith(root.rstrip("/") + "/") if root else F.lit(True)
 
