@@ -37,7 +37,8 @@ def _scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def _files(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     s = Settings(**options)
-    return scoring.aggregate_files(scoring.score_windows(adapters.windows(spark, sf_dir), s), adapters.files(spark, sf_dir), s)
+    windows = duplicates.saved(adapters.windows(spark, sf_dir))  # read several times
+    return scoring.aggregate_files(scoring.score_windows(windows, s), adapters.files(spark, sf_dir), s)
 
 
 @query
