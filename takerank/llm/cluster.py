@@ -38,17 +38,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of the input of an operator for each part of its scratch tables.
+PART_ROWS = 1 << 15
+
+
 class Scratch:
-    """Tables of one run of an operator, deleted but for those that its result still reads."""
+    """Tables of one run of an operator, deleted but for those that its result still reads.
+
+    Once fit() knows the rows of the input, a table is written in at most so many parts as these rows need
+    and two a core at least; all rows are written. Each part costs the executor some files and, on a local
+    disk without Hadoop's native library, a child process (chmod) for each of them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.names = spark, scratch(spark, name), []
+        self.spark, self.root, self.names, self.parts = spark, scratch(spark, name), [], None
+
+    def fit(self, rows: int) -> None:
+        self.parts = max(2 * self.spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """Cut lineage, as stored() does."""
         self.names.append(f"{len(self.names):03d}-{name}")
         path = f"{self.root}/{self.names[-1]}"
-        df.write.parquet(path)
+        (df.coalesce(self.parts) if self.parts else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self, *keep: str) -> None:

@@ -263,7 +263,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, key_bits: in
     spark = ready(docs.sparkSession)
     work = Scratch(spark, "near")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows, classes = _classes(work.stored(_sketches(texts, k, key_bits), "sketches"), work)
+    rows = work.stored(_sketches(texts, k, key_bits), "sketches")
+    work.fit(rows.count())
+    rows, classes = _classes(rows, work)
     buckets = classes.select(F.explode("bands").alias("band"), "key")
     shared = buckets.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("band", "pivot")
     members = work.stored(buckets.join(shared, "band"), "members")

@@ -192,3 +192,29 @@ def test_hot_groups_of_near_duplicates(spark):
     rows = [(i, " ".join(words)) for i in range(300)] + [(1000 + i, near()) for i in range(350)]
     got = near_dedup.near_duplicates(docs(spark, rows)).collect()
     assert {r.doc_id: r.component_id for r in got} == brute.components(rows)
+
+
+def test_scratch_tables_of_near_duplicates_have_few_parts(spark, monkeypatch):
+    """Each part costs the executor files and child processes; with many shuffle partitions a small table still gets few parts."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(40)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate([*texts, *(f"{t} {t[:3]}" for t in texts)])]
+    parts = {}
+
+    def counted(self, df, name, stored=cluster.Scratch.stored):
+        out = stored(self, df, name)
+        parts.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(cluster.Scratch, "stored", counted)
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.components(rows) and len(set(got.values())) == 200
+    assert max(max(n) for name, n in parts.items() if name != "sketches") <= 2 * spark.sparkContext.defaultParallelism, parts
